@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, urls
+from . import jaccard, mixing, packing, quality, suffix_tree, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,8 +39,22 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxicity.part_of(F.col("doc_id"), 3) == 1
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out)
+
+
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxicity.part_of(F.col("doc_id"), 7) == 2
+    return suffix_tree.score_texts(read(spark, sf_dir, "documents"), held_out)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_packing, op5_quality, op7_urls)}
+    return {f.__name__: f for f in (op1_mixing, op2_packing, op5_quality, op6_toxicity, op7_urls, op8_jaccard, op10_suffix_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
