@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, suffix_tree, toxicity, urls
+from . import jaccard, mixing, packing, quality, suffix_tree, suffixes, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.suffix_dedup(read(spark, sf_dir, "documents"), length=400, keep="none")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -54,7 +60,7 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_packing, op5_quality, op6_toxicity, op7_urls, op8_jaccard, op10_suffix_tree)}
+    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_suffixes, op5_quality, op6_toxicity, op7_urls, op8_jaccard, op10_suffix_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
