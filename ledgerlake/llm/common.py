@@ -41,17 +41,18 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def scratch(df: DataFrame) -> DataFrame:
+def scratch(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage, outlives executors.
 
-    Folders go when the session's JVM ends, or with release().
+    Folders go when the session's JVM ends, and those that are not lasting with release().
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ledgerlake/{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    _written.append(path)
+    if not lasting:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

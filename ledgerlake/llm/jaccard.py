@@ -247,8 +247,8 @@ def link_nodes(classed: DataFrame, percent: int, block: int) -> DataFrame:
     return components(links)
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
+def _classified(docs: DataFrame, k: int, percent: int, block: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, rk, n_shingles, component), in the shared folder; the component is a set's hash, null without shingles."""
     rows = docs.select(F.col(id_col).alias("doc_id"), filled(F.col(text_col)).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
     kind = dict(rows.dtypes)["doc_id"]
@@ -266,9 +266,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block: in
     picked = rows.select("rk", "text").join(chosen, "rk")
     grams = picked.select("class", "node", "text").mapInArrow(_sets(k), "class long, node long, grams binary").join(classes.select("node", "members"), "node")
     comps = link_nodes(grams, percent, block)
+    component = F.when(F.col("n") > 0, F.coalesce("component", "node"))
+    return scratch(table.select("doc_id", "rk", "n", "node").join(comps, "node", "left").select("doc_id", "rk", F.col("n").alias("n_shingles"), component.alias("component")))
+
 
-    named = table.select("doc_id", F.col("n").alias("n_shingles"), "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = scratch(named)
-    least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    alone = named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.where("n_shingles > 0").join(least, "component").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
+    named = _classified(docs, k, percent, block, id_col, text_col)
+    least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    alone = named.where("component is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return named.join(least, "component").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+
+
+def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with their own columns, without near duplicates: of each component the one of the smallest id stays.
+
+    Ties go to the smaller hash of the row, null ids come last, and of equal rows one stays. Texts without shingles all stay.
+    """
+    named = _classified(docs, k, percent, block, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk"))["rk"]
+    kept = scratch(named.where("component is not null").groupBy("component").agg(first.alias("_rk"), F.count("*").alias("_n")).select("_rk"))
+    alone = named.where("component is null").select(F.col("rk").alias("_rk")).distinct()
+    rows = docs.withColumn("_rk", F.xxhash64(F.col(id_col), filled(F.col(text_col))))
+    out = rows.join(kept.unionByName(alone), "_rk", "left_semi")
+    twice = named.where("component is not null").groupBy("rk").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rk").alias("_rk")).join(kept, "_rk", "left_semi")
+    twice = scratch(twice)
+    if not twice.isEmpty():  # equal rows: only they are grouped
+        again = out.join(twice, "_rk", "left_semi").dropDuplicates(["_rk"])
+        out = out.join(twice, "_rk", "left_anti").unionByName(again)
+    return out.drop("_rk")

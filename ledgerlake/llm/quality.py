@@ -106,7 +106,7 @@ def best_cut(scored: DataFrame, labels: DataFrame, good_weight: float) -> float:
 
 
 def quality(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, good_weight: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score, threshold.
+    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score, threshold, text_key.
 
     labels: (id_col, quality), 1 for the trusted target. target_docs bounds the documents that the target is counted from.
     """
@@ -117,10 +117,10 @@ def quality(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, good_
     counted = base_counts(rows)
     total = F.aggregate(_places("_words", 0), F.lit(0.0), lambda a, i: a + F.get(table, _single("_words", i)) + F.when(i > 0, F.get(table, _pair("_words", i))).otherwise(F.lit(0.0)))
     score = F.when(F.size("_words") > 0, total / (2 * F.size("_words") - 1)).otherwise(F.lit(0.0))
-    scored = scratch(counted.select("_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", score.alias("score")))
+    scored = scratch(counted.select("_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", score.alias("score"), F.xxhash64("_text").alias("text_key")))
     cut = best_cut(scored, labels, good_weight)
     failed = fails_base(F.col("n_words"), F.col("n_repeat_words"))
     return scored.select(
         F.col("_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & (F.col("score") >= F.lit(cut))).alias("kept"), "score", F.lit(cut).alias("threshold"),
+        failed.alias("base_failed"), (~failed & (F.col("score") >= F.lit(cut))).alias("kept"), "score", F.lit(cut).alias("threshold"), "text_key",
     )

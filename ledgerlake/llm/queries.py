@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, suffix_tree, suffixes, toxicity, urls
+from . import jaccard, lines, mixing, mtree, packing, quality, suffix_tree, suffixes, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -54,14 +59,36 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = toxicity.part_of(F.col("doc_id"), 7) == 2
     return suffix_tree.score_texts(read(spark, sf_dir, "documents"), held_out)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_suffixes, op5_quality, op6_toxicity, op7_urls, op8_jaccard, op10_suffix_tree)}
+    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_suffixes, op4_lines, op5_quality, op6_toxicity, op7_urls, op8_jaccard, op9_mtree, op10_suffix_tree)}
+
+
+#: Every repeated run of at least 50 words is a union of windows that are the shortest of 50 words from their first or to their last line.
+OP4_SQL = r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+r AS (SELECT doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS ln FROM l),
+w AS (SELECT doc_id, ln, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM r),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS i, sum(n) OVER (PARTITION BY doc_id ORDER BY ln) AS upto FROM w WHERE n > 0),
+c AS (SELECT a.doc_id, a.i AS i, b.i AS e, a.ln AS s, b.ln AS t, b.upto - a.upto + a.n AS total, a.n AS first_n, b.n AS last_n
+      FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 49),
+m AS (SELECT doc_id, i, e, s, t FROM c WHERE total >= 50 AND (total - last_n < 50 OR total - first_n < 50)),
+k AS (SELECT m.doc_id, m.i, m.s, m.t, string_agg(f.x, chr(10) ORDER BY f.i) AS body FROM m JOIN f ON m.doc_id = f.doc_id AND f.i BETWEEN m.i AND m.e GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS nth FROM k),
+d AS (SELECT DISTINCT o.doc_id, r.ln FROM o JOIN r ON o.doc_id = r.doc_id AND r.ln BETWEEN o.s AND o.t WHERE nth > 1),
+g AS (SELECT r.doc_id, count(*) AS n_lines, count(d.ln) AS n_removed, string_agg(r.x, chr(10) ORDER BY r.ln) FILTER (d.ln IS NULL) AS body
+      FROM r LEFT JOIN d ON r.doc_id = d.doc_id AND r.ln = d.ln GROUP BY r.doc_id)
+SELECT doc_id, n_lines, n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM g
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_lines": OP4_SQL}
