@@ -1,0 +1 @@
+"""Catalog, change-history and evidence analytics as Spark DataFrame operators."""

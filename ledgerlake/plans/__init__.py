@@ -1,0 +1,12 @@
+"""Queries over the driver's tables, each with its SQL counterpart where SQL can say it."""
+
+from . import catalog, timelines
+from .registry import QUERIES, SQL
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

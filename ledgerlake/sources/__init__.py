@@ -1,0 +1 @@
+"""Sources and sinks: file trees, inventories, field tables, events, reports."""
