@@ -102,7 +102,7 @@ def verify_package(artifacts: DataFrame, present: DataFrame) -> DataFrame:
     j = artifacts.join(present.select("path", F.col("sha256").alias("_found")), "path", "left")
     gone, differs = F.col("_found").isNull(), F.col("_found") != F.col("sha256")
     status = F.when(F.col("external"), "PARTIAL").when(gone | differs, "FAIL").otherwise("PASS")
-    codes = F.when(F.col("external"), F.array(F.lit("EXTERNAL_ARTIFACT_NOT_VERIFIED"))).when(gone, F.array(F.lit("MISSING_REQUIRED_FILE"))).when(differs, F.array(F.lit("HASH_MISMATCH"))).otherwise(F.array().cast("array<string>"))
+    codes = F.when(F.col("external"), F.array(F.lit("EXTERNAL_ARTIFACT_NOT_RESOLVED"))).when(gone, F.array(F.lit("MISSING_REQUIRED_FILE"))).when(differs, F.array(F.lit("HASH_MISMATCH"))).otherwise(F.array().cast("array<string>"))
     return j.select("artifact_id", "path", status.alias("status"), codes.alias("reason_codes"))
 
 

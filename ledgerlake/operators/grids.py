@@ -56,7 +56,7 @@ def validate_table(raw: DataFrame, grid: Grid) -> DataFrame:
     good = t.where(F.size("_bad") == 0).groupBy("_x", "_y").agg(F.count("*").alias("_n")).where("_n > 1")
     t = t.join(good, ["_x", "_y"], "left")
     off = (F.size("_bad") == 0) & (F.col("i").isNull() | F.col("j").isNull())
-    codes = F.concat("_bad", codes_of((F.col("_n").isNotNull(), "DUPLICATE_COORDINATE"), (off, "COORDINATE_OFF_GRID")))
+    codes = F.concat("_bad", codes_of((F.col("_n").isNotNull(), "DUPLICATE_COORDINATE"), (off, "GRID_COORDINATE_MISMATCH")))
     return t.select("row", F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_value").alias("value"), "i", "j", codes.alias("reason_codes"))
 
 
@@ -111,5 +111,5 @@ def integral_check(source: DataFrame, source_grid: Grid, target: DataFrame, targ
     t = t.withColumn("relative_error", F.when(s == 0, F.when(F.col("target_integral") == 0, 0.0)).otherwise(e / F.nullif(F.abs(s), F.lit(0.0))))
     ok = F.col("relative_error") <= tolerance
     status = F.when(F.col("relative_error").isNull(), "PARTIAL").when(ok, "PASS").otherwise("FAIL")
-    codes = codes_of((F.col("relative_error").isNull(), "ZERO_REFERENCE_INTEGRAL"), (F.col("relative_error").isNotNull() & ~F.coalesce(ok, F.lit(False)), "INTEGRAL_CRITERION_FAILED"))
+    codes = codes_of((F.col("relative_error").isNull(), "ZERO_REFERENCE_INTEGRAL"), (F.col("relative_error").isNotNull() & ~F.coalesce(ok, F.lit(False)), "INTEGRAL_CRITERION_NOT_MET"))
     return t.select("*", status.alias("status"), codes.alias("reason_codes"))
