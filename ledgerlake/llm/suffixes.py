@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import filled, scratch
+from .common import filled, scratch, tidy
 
 SEGMENT, FILTER_BITS = 1 << 20, 26
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
@@ -260,6 +260,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep: str = "first", gram:
 
     schema = f"doc_id {kind}, k1 long, k2 long, base long, jlo int, jhi int, core long, context long, margins binary"
     blocks = scratch(rows.mapInArrow(_blocks(length, gram, block, shared), schema))
+    tidy(spark)
     contexts = blocks.groupBy("core", "context", "jlo", "jhi").agg(F.count("*").alias("n"))
     cores = scratch(contexts.groupBy("core").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("n").alias("least")).where("total > 1"))
     # To tell what is repeated, a core needs no suffix order if each of its contexts is met twice.
@@ -267,13 +268,15 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep: str = "first", gram:
     m = F.min(F.struct("doc_id", "k1", "k2", "base")).alias("m")
     opened = blocks.join(needs.select("core", "kinds"), "core").groupBy("core", "kinds", "context", "jlo", "jhi", "margins").agg(F.count("*").alias("n"), m)
     opened = scratch(opened.select("core", "kinds", "context", "jlo", "jhi", "margins", "n", F.col("m.doc_id").alias("m_id"), F.col("m.k1").alias("m_k1"), F.col("m.k2").alias("m_k2"), F.col("m.base").alias("m_base")))
+    tidy(spark)
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), opened.count() // 50_000 + 1)
     small = opened.where(F.col("kinds") <= most).withColumn("bin", F.pmod(F.xxhash64("core"), F.lit(bins)))
     masks = small.groupBy("bin").applyInPandas(_ordered(block), "core long, context long, mask long, first long").unionByName(_one_by_one(opened.where(F.col("kinds") > most), block))
 
     places = blocks.select("k1", "k2", "base", "jlo", "jhi", "core", "context")
     if keep == "none":
-        every = (F.call_function("shiftleft", F.lit(2).cast("long"), F.col("jhi")) - F.call_function("shiftleft", F.lit(1).cast("long"), F.col("jlo"))).alias("mask")
+        ones = F.lit(-1).cast("long")
+        every = F.call_function("shiftleft", ones, F.col("jlo")).bitwiseAND(F.call_function("shiftrightunsigned", ones, 63 - F.col("jhi"))).alias("mask")
         twice = blocks.groupBy("core", "context", "jlo", "jhi").agg(F.count("*").alias("n")).where("n > 1").select("core", "context", every)
         flags = scratch(twice.unionByName(masks.select("core", "context", "mask")).groupBy("core", "context").agg(F.bit_or("mask").alias("mask")))
         found = places.join(flags, ["core", "context"]).select("k1", "k2", "base", "mask")
@@ -283,5 +286,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep: str = "first", gram:
         here = (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")) & (F.col("base") == F.col("fb"))
         found = places.join(flags, ["core", "context"]).select("k1", "k2", "base", F.when(here, F.col("mask").bitwiseAND(F.bitwise_not("first"))).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
     found = found.groupBy("k1", "k2", "base").agg(F.bit_or("mask").alias("mask")).groupBy("k1", "k2").agg(F.collect_list(F.struct("base", "mask")).alias("found"))
-    out = rows.join(scratch(found), ["k1", "k2"], "left").select("doc_id", "text", "found")
+    found = scratch(found)
+    tidy(spark)
+    out = rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "found")
     return out.mapInArrow(_cut(length, block), f"doc_id {kind}, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")

@@ -7,21 +7,21 @@ import pytest
 
 from ledgerlake.llm.suffixes import suffix_dedup
 
-L, SHAPE = 40, {"length": 40, "gram": 12, "block": 16}
+SHAPES = [{"length": 40, "gram": 12, "block": 16}, {"length": 90, "gram": 12, "block": 64}]
 
 
-def brute(rows, keep):
+def brute(rows, keep, length):
     starts = defaultdict(list)
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
     texts = [(t or "").encode() for _, t in rows]
     for i in order:
-        for s in range(len(texts[i]) - L + 1):
-            starts[texts[i][s : s + L]].append((i, s))
+        for s in range(len(texts[i]) - length + 1):
+            starts[texts[i][s : s + length]].append((i, s))
     gone = [set() for _ in rows]
     for places in starts.values():
         if len(places) > 1:
             for i, s in places[1:] if keep == "first" else places:
-                gone[i].update(range(s, s + L))
+                gone[i].update(range(s, s + length))
     out = []
     for i, t in enumerate(texts):
         runs = sum(p - 1 not in gone[i] for p in gone[i])
@@ -43,16 +43,16 @@ def corpus(seed):
     for i in range(30):
         at = rnd.randrange(500)
         rows.append((100 + i, near[:at] + rnd.choice(["", "x", "yz"]) + near[at + rnd.randrange(3) :]))
-    return [*rows, (200, rows[-1][1]), (201, "q" * 150), (202, "ab" * 60), (203, None), (204, ""), (205, text(39)), (None, passages[5])]
+    return [*rows, (200, rows[-1][1]), (201, "q" * 150), (202, "ab" * 120), (206, "q" * 300), (203, None), (204, ""), (205, text(39)), (None, passages[5])]
 
 
-@pytest.mark.parametrize(("seed", "keep", "most"), [(1, "none", 20000), (2, "first", 20000), (3, "none", 2), (4, "first", 2)])
-def test_suffixes(spark, seed, keep, most):
+@pytest.mark.parametrize(("seed", "keep", "most", "shape"), [(1, "none", 20000, 0), (2, "first", 20000, 0), (3, "none", 2, 0), (4, "first", 2, 0), (5, "none", 20000, 1), (6, "first", 3, 1)])
+def test_suffixes(spark, seed, keep, most, shape):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = suffix_dedup(df, keep=keep, most=most, **SHAPE).collect()
+    got = suffix_dedup(df, keep=keep, most=most, **SHAPES[shape]).collect()
     assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_bytes"] - len(r["kept"]) for r in got)
-    assert Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"]), len(r["spans"])) for r in got) == brute(rows, keep)
+    assert Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"]), len(r["spans"])) for r in got) == brute(rows, keep, SHAPES[shape]["length"])
 
 
 def test_long_text_and_nothing(spark):
