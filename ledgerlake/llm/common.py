@@ -63,6 +63,11 @@ def release(spark: SparkSession) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished jobs now, instead of whenever the driver's garbage is collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def global_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
     """Adds 0-based positions in a total order, without one task that sorts everything.
 
@@ -95,6 +100,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
         .distinct()
     )
+    tidy(edges.sparkSession)
     state = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = state(now)
     for _ in range(limit):
