@@ -90,5 +90,44 @@ SELECT doc_id, n_lines, n_removed, sha256(coalesce(body, '')) AS kept_sha256 FRO
 """
 
 
+OP7_SQL = r"""
+WITH RECURSIVE p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+u AS (SELECT page_id, url, html, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest FROM p),
+g AS (SELECT *, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM u WHERE contains(url, '://')),
+l AS (SELECT *, replace(CASE WHEN regexp_matches(tag, '(?i)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+      WHEN regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\bcontent\s*=\s*["'']?\s*\d+\s*;\s*url\s*=\s*["'']?([^"''\s>]+)', 1) END, '&amp;', '&') AS dst FROM g),
+t AS (SELECT host || rest AS a, CASE WHEN contains(dst, '://') THEN dst WHEN starts_with(dst, '//') THEN 'x:' || dst WHEN starts_with(dst, '/') THEN 'x://' || host || dst
+      ELSE 'x://' || host || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || dst END AS full_url FROM l WHERE dst <> ''),
+e AS (SELECT a, translate(regexp_extract(full_url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(full_url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS b FROM t),
+b AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
+r AS (SELECT a AS x, b AS y FROM b UNION SELECT r.x, b.b FROM r JOIN b ON r.y = b.a),
+n AS (SELECT DISTINCT y, regexp_extract(y, '^[^/?#]*', 0) AS host, regexp_extract(y, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+k AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) v(h, q, v)),
+f AS (SELECT n.y, arg_max(v, length(h || q)) AS v FROM n JOIN k ON (n.host = h OR ends_with(n.host, '.' || h)) AND starts_with(n.path, q) GROUP BY 1),
+c AS (SELECT r.x, max(CASE WHEN f.v = 'allow' THEN 1 ELSE 0 END) AS allowed, max(CASE WHEN f.v = 'block' THEN 1 ELSE 0 END) AS blocked FROM r JOIN f ON r.y = f.y GROUP BY 1),
+o AS (SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS v FROM u JOIN k ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, q) GROUP BY 1)
+SELECT u.page_id, u.host, u.path, o.rule, coalesce(o.v, CASE WHEN c.allowed = 1 THEN 'allow' WHEN c.blocked = 1 THEN 'block' END, 'allow') AS verdict,
+ CASE WHEN o.rule IS NOT NULL THEN 'rule' WHEN c.x IS NOT NULL THEN 'alias' ELSE 'default' END AS "by" FROM u LEFT JOIN o USING (page_id) LEFT JOIN c ON c.x = u.host || u.rest AND contains(u.url, '://')
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x)
+SELECT x AS doc_id, coalesce(n.n, 0) AS n_shingles, min(y) AS component_id FROM r LEFT JOIN n ON n.doc_id = x GROUP BY ALL
+"""
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lines": OP4_SQL}
+    return {"op4_lines": OP4_SQL, "op7_urls": OP7_SQL, "op8_jaccard": OP8_SQL, "op9_mtree": OP9_SQL}

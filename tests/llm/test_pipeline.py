@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -52,12 +53,19 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
 
 
-@pytest.mark.parametrize("name", [n for n in queries.queries() if n not in ("op4_lines",)])
-def test_queries_answer_for_every_row(spark, name):
-    path = "/root/testdata/sf0.001"
-    out = queries.queries()[name](spark, path)
-    table = {"op7_urls": "pages", "op9_mtree": "embeddings"}.get(name, "documents")
-    n = spark.read.parquet(f"{path}/{table}.parquet").count()
-    if name == "op9_mtree":
-        n = 20 * -(-n // 20)
-    assert out.count() >= n
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(queries.queries()))
+def test_queries_over_the_smallest_tables(spark, name):
+    out = queries.queries()[name](spark, SF)
+    cols = sorted(out.columns)
+    got = sorted(map(repr, (tuple(r) for r in out.select(*cols).collect())))
+    if name in queries.oracle_sql():
+        duck = duckdb.connect()
+        for t in ("documents", "pages", "embeddings"):
+            duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        want = duck.sql(f"SELECT {', '.join(f'{chr(34)}{c}{chr(34)}' for c in cols)} FROM ({queries.oracle_sql()[name]})").fetchall()
+        assert got == sorted(map(repr, want))
+    else:
+        assert len(got) >= spark.read.parquet(f"{SF}/documents.parquet").count()
