@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Parquet files of (event_id, ts, user_id, event_type, value, props) as a stream; ts gets a time zone, which watermarks need."""
-    raw = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").parquet(path)
+    # As a pattern, for a path may be a single file, which a file stream takes for a folder.
+    raw = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").parquet(f"{path[:-1]}[{path[-1]}]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
