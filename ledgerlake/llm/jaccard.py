@@ -1,8 +1,8 @@
 """N-gram Jaccard join by count vectors.
 
 Documents are sets of hashed k-word shingles. Two sets within a Jaccard similarity t differ in at most
-d = (|A| + |B|) * (1 - t) / (1 + t) shingles, so if shingles are hashed into d + 1 groups, one group at least
-is equal in both. Equal groups (a hash of the group's content, per size class) partition the table: every link lies
+d = (|A| + |B|) * (1 - t) / (1 + t) shingles, so if shingles are hashed into more than d groups, one group at least
+is equal in both (a few more make sure that it isn't an empty one). Equal groups (a hash of the group's content, per size class) partition the table: every link lies
 inside a candidate class, a connected component of sets that share an equal group. Inside a class, sets are points of
 DIMS group counts in an R-tree of leaf pages: the sum over coordinates of the smaller of a set's count and a page's
 largest bounds the overlap that any set of the page can have; the same sum against a point bounds that pair;
@@ -19,18 +19,23 @@ are one shingle; equal rows are linked; a null id takes part but is never a comp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words as W
-from .common import components, filled, scratch
+from .common import components, filled, scratch, tidy
 
 DIMS, PAGE = 64, 32
+#: Signatures that a task holds at once; documents whose signatures meet in one range.
+MOST_HELD, DOCS_A_RANGE = 1 << 20, 10_000
 
 
 def size_classes(top: int) -> list[int]:
@@ -70,6 +75,21 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarr
         lo = hi
 
 
+def groups_of(first: int, top: int, percent: int) -> tuple[int, int]:
+    """How many groups a size class (first to top) takes, and how many of them may be empty in a set.
+
+    With d differences at most, of d + 1 + spare groups spare + 1 are equal in linked sets. A set with no more than
+    `spare` empty groups thus shares a group with shingles, so that empty ones, which any sets may share, need not count.
+    """
+    d = 2 * top * (100 - percent) // (100 + percent)
+    least, spare = -(-percent * first // 100), 0
+    for _ in range(4):
+        m = d + 1 + spare
+        empty = m * (1 - 1 / m) ** least
+        spare = math.ceil(empty + 5 * math.sqrt(empty)) if m > 1 else 0
+    return d + 1 + spare, spare
+
+
 def group_signatures(s: np.ndarray, percent: int) -> np.ndarray:
     """A hash for each group of shingles, in the set's size class and, if a partner can lie there, the next."""
     n, bounds, out = len(s), size_classes(len(s)), []
@@ -80,11 +100,13 @@ def group_signatures(s: np.ndarray, percent: int) -> np.ndarray:
         if c > i and n * 100 < percent * bounds[i + 1]:
             break
         top = bounds[c + 1] - 1 if c + 1 < len(bounds) else max(bounds[c] + 1, -(-bounds[c] * 3 // 2)) - 1
-        m = 2 * top * (100 - percent) // (100 + percent) + 1
+        m, spare = groups_of(bounds[c], top, percent)
         g = (s % np.uint64(m)).astype(np.int64)
         a = np.bincount(g, low, m).astype(np.uint64)
         b = np.bincount(g, high, m).astype(np.uint64)
-        out.append(W.chain(np.arange(m, dtype=np.uint64) + np.uint64(c << 40), a, b))
+        sig = W.chain(np.arange(m, dtype=np.uint64) + np.uint64(c << 40), a, b)
+        empty = np.bincount(g, minlength=m) == 0
+        out.append(sig if empty.sum() > spare else sig[~empty])
     return np.concatenate(out)
 
 
@@ -92,31 +114,106 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _describe(k: int, percent: int):
+class _Held:
+    """Signatures of the documents at hand, until there are enough to be dealt out by range."""
+
+    def __init__(self, bits: int, base: int):
+        self.bits, self.base, self.sigs, self.size = bits, base, [], 0
+
+    def add(self, sigs: np.ndarray) -> bool:
+        """Whether it is time to deal."""
+        self.sigs.append(sigs)
+        self.size += len(sigs)
+        return self.size >= MOST_HELD or len(self.sigs) >= 1 << 16
+
+    def dealt(self) -> pa.RecordBatch | None:
+        """A row for each range: 48 bits of each signature, and the document's number after base, once for equal
+        signatures; and the links between documents of equal signatures here."""
+        if not self.sigs:
+            return None
+        sig = np.concatenate(self.sigs)
+        idx = np.repeat(np.arange(len(self.sigs)), [len(x) for x in self.sigs]).astype(np.uint16)
+        order = np.argsort(sig, kind="stable")
+        sig, idx = sig[order], idx[order]
+        first = np.concatenate(([True], sig[1:] != sig[:-1]))[: len(sig)]
+        head = idx[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
+        pairs = np.unique((idx[~first].astype(np.int64) << 16) | head[~first])
+        sig, idx = sig[first], idx[first]
+        cuts = np.searchsorted(sig >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1))
+        r = np.flatnonzero(np.diff(cuts))
+        low = np.ascontiguousarray(((sig << np.uint64(self.bits)) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+        none = lambda n, t: pa.nulls(n, t)
+        n, m = len(r), len(pairs)
+        cols = [
+            pa.concat_arrays([pa.array(r, pa.int32()), none(m, pa.int32())]),
+            pa.concat_arrays([pa.array(np.full(n, self.base), pa.int64()), none(m, pa.int64())]),
+            pa.array([low[cuts[k] : cuts[k + 1]].tobytes() for k in r] + [None] * m, pa.binary()),
+            pa.array([idx[cuts[k] : cuts[k + 1]].tobytes() for k in r] + [None] * m, pa.binary()),
+            pa.concat_arrays([none(n, pa.int64()), pa.array(self.base + (pairs >> 16), pa.int64())]),
+            pa.concat_arrays([none(n, pa.int64()), pa.array(self.base + (pairs & 0xFFFF), pa.int64())]),
+        ]
+        self.base, self.sigs, self.size = self.base + len(self.sigs), [], 0
+        return pa.RecordBatch.from_arrays(cols, DEALT)
+
+
+DEALT = ["r", "base", "sigs", "idx", "a", "b"]
+
+
+def _describe(k: int, percent: int, bits: int, id_type: pa.DataType):
+    """Two kinds of rows: documents, numbered by `ref`, and what _Held has dealt."""
+    described = [("doc_id", id_type), ("rk", pa.int64()), ("ref", pa.int64()), ("n", pa.int64()), ("node", pa.int64())]
+    dealt = [("r", pa.int32()), ("base", pa.int64()), ("sigs", pa.binary()), ("idx", pa.binary()), ("a", pa.int64()), ("b", pa.int64())]
+
+    def full(batch: pa.RecordBatch) -> pa.RecordBatch:
+        have = dict(zip(batch.schema.names, batch.columns))
+        return pa.RecordBatch.from_arrays([have[n].cast(t) if n in have else pa.nulls(batch.num_rows, t) for n, t in described + dealt], [n for n, _ in described + dealt])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ref = TaskContext.get().partitionId() << 40
+        held = _Held(bits, ref)
         for batch in batches:
             data, off = W.buffers(batch.column("text"))
             for i, j in W.doc_groups(off):
-                n, ident, sigs = [], [], []
+                n, ident = [], []
                 for s in shingle_sets(data, off[i : j + 1], k):
                     n.append(len(s))
                     with np.errstate(over="ignore"):
                         ident.append(int(_signed(W.mix(np.array([W.mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)))[0]) if len(s) else 0)
-                    sigs.append(_signed(group_signatures(s, percent)) if len(s) else np.zeros(0, np.int64))
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("rk").slice(i, j - i), pa.array(n, pa.int64()), pa.array(ident, pa.int64()), lists], ["doc_id", "rk", "n", "node", "sigs"])
+                    if held.add(group_signatures(s, percent) if len(s) else s) and (out := held.dealt()) is not None:
+                        yield full(out)
+                refs = pa.array(np.arange(ref, ref + j - i), pa.int64())
+                ref += j - i
+                cols = [batch.column("doc_id").slice(i, j - i), batch.column("rk").slice(i, j - i), refs, pa.array(n, pa.int64()), pa.array(ident, pa.int64())]
+                yield full(pa.RecordBatch.from_arrays(cols, [x for x, _ in described]))
+        if (out := held.dealt()) is not None:
+            yield full(out)
 
     return run
 
 
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of each document to the first one of an equal signature, within a range of signatures."""
+    idx = [np.frombuffer(x, np.uint16).astype(np.int64) for x in pdf["idx"]]
+    ref = np.concatenate([b + x for b, x in zip(pdf["base"], idx)])
+    six = np.frombuffer(b"".join(pdf["sigs"]), np.uint8).reshape(-1, 6)
+    sig = np.zeros((len(six), 8), np.uint8)
+    sig[:, :6] = six
+    sig = sig.view("<u8").ravel()
+    order = np.lexsort((ref, sig))
+    sig, ref = sig[order], ref[order]
+    first = np.concatenate(([True], sig[1:] != sig[:-1]))
+    head = ref[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
+    pairs = np.unique(np.stack((ref[~first], head[~first]), axis=1), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = W.buffers(batch.column("text"))
             for i, j in W.doc_groups(off):
                 found = [s.tobytes() for s in shingle_sets(data, off[i : j + 1], k)]
-                yield pa.RecordBatch.from_arrays([batch.column("class").slice(i, j - i), batch.column("node").slice(i, j - i), pa.array(found, pa.binary())], ["class", "node", "grams"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("class", "node", "members")), pa.array(found, pa.binary())], ["class", "node", "members", "grams"])
 
     return run
 
@@ -227,6 +324,7 @@ def link_nodes(classed: DataFrame, percent: int, block: int) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("members") / F.lit(block)), F.lit(1)).cast("int")
     at = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     sets = scratch(classed.withColumn("blocks", blocks).withColumn("block", at).withColumn("part", F.xxhash64("class", "block")))
+    tidy(spark)
     total = sets.count()
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 1000 + 1)
     binned = sets.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod("part", F.lit(bins))).otherwise(F.col("part")))
@@ -252,19 +350,24 @@ def _classified(docs: DataFrame, k: int, percent: int, block: int, id_col: str,
     rows = docs.select(F.col(id_col).alias("doc_id"), filled(F.col(text_col)).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
     kind = dict(rows.dtypes)["doc_id"]
-    table = scratch(rows.mapInArrow(_describe(k, percent), f"doc_id {kind}, rk long, n long, node long, sigs array<long>"))
-
-    sigs = table.where("n > 0").select("node", F.explode("sigs").alias("sig"))
-    shared = sigs.groupBy("sig").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("sig", "head")
-    edges = sigs.join(shared, "sig").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    bits = min(max((docs.count() // DOCS_A_RANGE).bit_length(), 5), 18)
+    schema = f"doc_id {kind}, rk long, ref long, n long, node long, r int, base long, sigs binary, idx binary, a long, b long"
+    every = scratch(rows.mapInArrow(_describe(k, percent, bits, to_arrow_type(rows.schema["doc_id"].dataType)), schema))
+    table = every.where("ref is not null").select("doc_id", "rk", "ref", "n", "node")
+
+    links = every.where("r is not null").select("r", "base", "sigs", "idx").groupBy("r").applyInPandas(_shared, "a long, b long")
+    links = links.unionByName(every.where("a is not null").select("a", "b")).distinct()
+    of = lambda c: table.where("n > 0").select(F.col("ref").alias(c), F.col("node").alias(f"{c}_node"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).where("a <> b")
     classes = components(edges)
     members = classes.groupBy("component").agg(F.count("*").alias("members"))
     classes = scratch(classes.join(members, "component").select("node", F.col("component").alias("class"), "members"))
 
     # Shingles again, only for one document of each set that has a candidate.
     chosen = table.where("n > 0").groupBy("node").agg(F.min("rk").alias("rk")).join(classes, "node")
-    picked = rows.select("rk", "text").join(chosen, "rk")
-    grams = picked.select("class", "node", "text").mapInArrow(_sets(k), "class long, node long, grams binary").join(classes.select("node", "members"), "node")
+    # The texts go through a sort-merge join at every size, so that no plan rests on how many candidates there are.
+    picked = rows.select("rk", "text").join(chosen.hint("merge"), "rk")
+    grams = picked.select("class", "node", "members", "text").mapInArrow(_sets(k), "class long, node long, members long, grams binary")
     comps = link_nodes(grams, percent, block)
     component = F.when(F.col("n") > 0, F.coalesce("component", "node"))
     return scratch(table.select("doc_id", "rk", "n", "node").join(comps, "node", "left").select("doc_id", "rk", F.col("n").alias("n_shingles"), component.alias("component")))
