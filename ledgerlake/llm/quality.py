@@ -3,7 +3,7 @@
 Every word and word pair falls into one of BUCKETS buckets. One multinomial over buckets is counted from the trusted
 target (at most target_docs documents labelled good, those of the smallest hashes), the other from every document. A
 document's score is the mean over its n-grams of log(p_target / p_raw), both smoothed by one count a bucket. The
-threshold is found on the labelled documents' scores, in steps of STEP: the cut with the least of good_weight times the
+threshold is found on the scores of the labelled documents that pass the base rules, in steps of STEP: the cut with the least of good_weight times the
 share of good documents lost plus the share of bad documents kept, the lowest at ties. It is then applied to every document.
 
 Defined cases: a null text has no words and fails the base rules; texts without n-grams score 0; without labels of
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import filled, scratch
 
-BUCKETS, STEP, CLIP = 8192, 0.01, 20.0
+BUCKETS, STEP, CLIP = 8192, 0.005, 20.0
 SYMBOLS = r"[#*$%&|<>]"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
@@ -118,8 +118,8 @@ def quality(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, good_
     total = F.aggregate(_places("_words", 0), F.lit(0.0), lambda a, i: a + F.get(table, _single("_words", i)) + F.when(i > 0, F.get(table, _pair("_words", i))).otherwise(F.lit(0.0)))
     score = F.when(F.size("_words") > 0, total / (2 * F.size("_words") - 1)).otherwise(F.lit(0.0))
     scored = scratch(counted.select("_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", score.alias("score"), F.xxhash64("_text").alias("text_key")))
-    cut = best_cut(scored, labels, good_weight)
     failed = fails_base(F.col("n_words"), F.col("n_repeat_words"))
+    cut = best_cut(scored.where(~failed), labels, good_weight)
     return scored.select(
         F.col("_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (F.col("score") >= F.lit(cut))).alias("kept"), "score", F.lit(cut).alias("threshold"), "text_key",
