@@ -142,7 +142,7 @@ FROM t LEFT JOIN d ON t.x = d.x AND t.y = d.y""")
 def grid_validate(spark, sf):
     o = F.col("o_orderkey")
     x, y, k = o % 50 + 1, o % 11, o % 101
-    raw = table(spark, sf, "orders").where("o_orderkey <= 2000").select(o.alias("row"), F.when(k == 1, " ").otherwise((x + F.when(k == 4, 0.25).otherwise(0)).cast("string")).alias("x"), y.cast("string").alias("y"), F.when(k == 2, "abc").when(k == 3, "nan").otherwise((x * y).cast("string")).alias("value"))
+    raw = table(spark, sf, "orders").select(o.alias("row"), F.when(k == 1, " ").otherwise((x + F.when(k == 4, 0.25).otherwise(0)).cast("string")).alias("x"), y.cast("string").alias("y"), F.when(k == 2, "abc").when(k == 3, "nan").otherwise((x * y).cast("string")).alias("value"))
     return grids.validate_table(raw, SOURCE).select("row", "reason_codes")
 
 
