@@ -1,7 +1,7 @@
 """Quality rules: base counts of a text and a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
 Every word and word pair falls into one of BUCKETS buckets. One multinomial over buckets is counted from the trusted
-target (at most target_docs documents labelled good, those of the smallest hashes), the other from every document. A
+target (every document labelled good), the other from every document. A
 document's score is the mean over its n-grams of log(p_target / p_raw), both smoothed by one count a bucket. The
 threshold is found on the scores of the labelled documents that pass the base rules, in steps of STEP: the cut with the least of good_weight times the
 share of good documents lost plus the share of bad documents kept, the lowest at ties. It is then applied to every document.
@@ -69,10 +69,10 @@ def _places(words: str, first: int) -> Column:
     return F.when(F.size(words) > first, F.sequence(F.lit(first), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def bucket_weights(docs: DataFrame, labels: DataFrame, target_docs: int) -> list[float]:
+def bucket_weights(docs: DataFrame, labels: DataFrame) -> list[float]:
     """log(p_target / p_raw) by bucket; zeros without a target."""
-    good = labels.where("quality = 1").orderBy(F.xxhash64("_id"), "_id").limit(target_docs).select("_id", F.lit(1).alias("_good"))
-    rows = docs.join(F.broadcast(good), "_id", "left").select(words_of(F.col("_text")).alias("_w"), F.coalesce("_good", F.lit(0)).alias("_good"))
+    good = labels.where("quality = 1").select("_id", F.lit(1).alias("_good"))
+    rows = docs.join(good, "_id", "left").select(words_of(F.col("_text")).alias("_w"), F.coalesce("_good", F.lit(0)).alias("_good"))
     grams = F.concat(F.transform(_places("_w", 0), lambda i: _single("_w", i)), F.transform(_places("_w", 1), lambda i: _pair("_w", i)))
     counts = rows.select("_good", F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_good").alias("target")).collect()
     raw, target = [1] * BUCKETS, [1] * BUCKETS
@@ -105,14 +105,14 @@ def best_cut(scored: DataFrame, labels: DataFrame, good_weight: float) -> float:
     return cut
 
 
-def quality(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, good_weight: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, good_weight: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score, threshold, text_key.
 
-    labels: (id_col, quality), 1 for the trusted target. target_docs bounds the documents that the target is counted from.
+    labels: (id_col, quality), 1 for the trusted target.
     """
     rows = docs.select(F.col(id_col).alias("_id"), filled(F.col(text_col)).alias("_text"))
     labels = labels.groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("quality")).where("_id is not null and quality is not null")
-    weights = bucket_weights(rows, labels, target_docs)
+    weights = bucket_weights(rows, labels)
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
     counted = base_counts(rows)
     total = F.aggregate(_places("_words", 0), F.lit(0.0), lambda a, i: a + F.get(table, _single("_words", i)) + F.when(i > 0, F.get(table, _pair("_words", i))).otherwise(F.lit(0.0)))
