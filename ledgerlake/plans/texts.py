@@ -200,13 +200,13 @@ def broken_markdown_links(spark, sf):
 @query()
 def tool_mentions_ranked(spark, sf):
     """Centrality of terms: capped scores over mentions per line and native assets."""
-    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text", "n_chars")
+    d = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
     terms = F.array(*[F.struct(F.lit(t).alias("tool"), F.lit(t).alias("term")) for t in ("license", "the", "idiot")])
     li = text.lines(d, "doc_id", "text").select("line", F.explode(terms).alias("t"))
     n = F.regexp_count(F.lower("line"), F.concat(F.lit(r"\b"), F.col("t.term"), F.lit(r"\b")))
     kind = F.when(F.rlike("line", F.lit("(?i)reference|supporting")), "reference").when(F.rlike("line", F.lit("(?i)primary|main")), "primary").otherwise("supporting")
     mentions = li.select(F.col("t.tool").alias("tool"), kind.alias("kind"), n.alias("n")).where("n > 0").groupBy("tool", "kind").agg(F.sum("n").alias("n"))
-    native = d.where("doc_id % 50 = 0").select(F.when(F.col("doc_id") % 100 == 0, "license").otherwise("the").alias("tool"), (F.col("n_chars") * 100_000).alias("size"), (F.col("doc_id") % 150 == 0).alias("in_reference"))
+    native = d.select(F.when(F.rlike("text", F.lit("(?i)license")), "license").otherwise("the").alias("tool"), (F.col("n_chars") * 100_000).alias("size"), F.rlike("text", F.lit("(?i)reference|supporting")).alias("in_reference")).na.fill({"tool": "the", "in_reference": False})
     return audit.tool_centrality(native, mentions)
 
 
