@@ -1,17 +1,21 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-The tree's nodes are contexts of up to two words that came before. A context is a candidate when it makes up at least
-`context_share` of the training tokens, and is retained when its next-word distribution differs from its parent's (the
-context without its oldest word) by at least `divergence` nats. A node keeps the next words that make up at least
-`pair_share` of the training tokens; the rest of its mass, plus one, goes to its parent's distribution, and at the
-root every word has (count + 1) / (N + V + 1). A token is scored at the longest retained suffix of what precedes it in its text.
-
-Shares bound the sizes, whatever the corpus: at most 1 / word_share frequent words, 1 / pair_share next words a level
-and 1 / context_share contexts are ever sent anywhere. All counts are taken over every training token; words
-below the share are counted as well, and rare words of the scored texts meet their counts in a join.
+The tree's nodes are contexts of up to two words that came before. A context is a candidate when it occurs min_context
+times, and is retained when its next-word distribution differs from its parent's (the context without its oldest word)
+by at least `divergence` nats. A node keeps the next words that occur min_next times after it; the rest of its mass, plus
+one, goes to its parent's distribution, and at the root every word has (count + 1) / (N + V + 1). A token is scored at
+the longest retained suffix of what precedes it in its text. In small corpora the floors are lower: the shares of
+the training tokens, where those are less than min_context and min_next.
+
+The model grows with the corpus and lies in partitioned tables. In logarithms a token's score is a sum: the root's, and a
+term each for a retained context of one word, a kept next word of it, and the same for two words. So the model is a table of
+keys and terms. Terms and words that make up word_share of the training tokens (at most 1 / word_share of each kind) are broadcast, which saves
+time and changes no result; keys of other terms, and rare words, meet their terms and counts in a join. Bitmaps of keys
+pass over what has no term; they can only let too much through.
 
 Defined cases: null and empty texts are one end token; equal rows get equal scores; a null id counts as an
-empty one; if nothing is trained on, every token is unknown; empty tables give empty results.
+empty one; if nothing is trained on, every token is unknown; empty tables give empty results. Words and contexts are
+told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,10 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import filled, scratch
+from .common import filled, scratch, tidy
 
 END = np.uint64(0x5DEECE66D)
 HELD = 1 << 21
+#: Set contexts of one and of two words apart from the keys of next words.
+ONE, TWO = np.int64(0x1F83D9ABFB41BD6B), np.int64(0x5BE0CD19137E2179)
+MOST_BITS = 28
 
 
 class Counter:
@@ -86,54 +93,72 @@ def _before(doc: np.ndarray, gap: int) -> np.ndarray:
     return out
 
 
-def _shift(x: np.ndarray, gap: int) -> np.ndarray:
-    out = np.full_like(x, -1)
-    out[gap:] = x[:-gap]
-    return out
+class Bits:
+    """A bitmap of the upper bits of 64-bit keys."""
+
+    def __init__(self, keys: DataFrame, n: int):
+        """keys: (k), n of them."""
+        self.size = min(max(int(n * 64).bit_length(), 12), MOST_BITS)
+        at = F.call_function("shiftrightunsigned", F.col("k"), F.lit(64 - self.size))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+        pdf = keys.select(F.call_function("shiftrightunsigned", at, F.lit(6)).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+        self.map = np.zeros(1 << (self.size - 6), np.uint64)
+        self.map[pdf["w"].to_numpy(np.int64)] = pdf["b"].to_numpy(np.int64).view(np.uint64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.view(np.uint64) >> np.uint64(64 - self.size)
+        return ((self.map[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
 class Model:
-    """words: hashes of frequent words, sorted, with counts. pairs, triples: sorted keys of (context, next word) with
-    counts; a context of one word is that word's place, one of two words a place in `deep`, the sorted keys of pairs."""
+    """words: hashes of frequent words, sorted, with counts. keys: those of frequent terms, sorted, with the terms;
+    bits: a bitmap of the keys of all terms. cold: the table (k, term) of the others."""
 
     def __init__(self, words, counts, total, distinct):
         self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
-        none = np.zeros(0, np.int64)
-        self.pairs = self.pair_counts = self.deep = self.triples = self.triple_counts = none
-        self.one = self.two = (np.zeros(0, bool), np.zeros(0), np.zeros(0))  # retained, total, rest
-
-    def places(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        tok, doc = tokens(data, off)
-        return tok, doc, find(self.words, tok.view(np.int64))
-
-    def pair_keys(self, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Key of (word before, word) for each token; -1 if either is rare or the token is its text's first."""
-        last = _shift(at, 1)
-        return np.where(_before(doc, 1) & (last >= 0) & (at >= 0), last * len(self.words) + at, -1)
-
-    def deep_before(self, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Place in deep of the two words before each token, or -1."""
-        return np.where(_before(doc, 2), _shift(find(self.deep, self.pair_keys(doc, at)), 1), -1)
+        self.keys, self.terms, self.bits = np.zeros(0, np.int64), np.zeros(0), None
 
     def root(self, at: np.ndarray) -> np.ndarray:
-        return (self.counts[at] + 1.0) / (self.total + self.distinct + 1.0)
-
-    def score(self, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token, without the root's share for rare words; and the root's for frequent ones."""
-        known = at >= 0
-        p = np.where(known, self.root(np.maximum(at, 0)) if len(self.words) else 1.0, 1.0)
-        base = np.where(known, np.log10(p), 0.0)
-        last = np.where(_before(doc, 1), _shift(at, 1), -1)
-        deep = self.deep_before(doc, at)
-        for node, (kept, total, rest), keys, counts in ((last, self.one, self.pairs, self.pair_counts), (deep, self.two, self.triples, self.triple_counts)):
-            use = np.flatnonzero(node >= 0)
-            use = use[kept[node[use]]] if len(use) else use
-            if len(use):
-                n = node[use]
-                where = find(keys, np.where(at[use] >= 0, n * len(self.words) + at[use], -1))
-                seen = np.where(where >= 0, counts[np.maximum(where, 0)] if len(counts) else 0, 0)
-                p[use] = (seen + (rest[n] + 1) * p[use]) / (total[n] + 1)
-        return np.log10(p), base
+        """log10 of the root's probability of frequent words; 0 for others."""
+        if not len(self.words):
+            return np.zeros(len(at))
+        return np.where(at >= 0, np.log10((self.counts[np.maximum(at, 0)] + 1.0) / (self.total + self.distinct + 1.0)), 0.0)
+
+    def score(self, tok: np.ndarray, doc: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """base with the frequent terms added, and documents and keys of what may have other terms."""
+        lp, docs, keys = base.copy(), [], []
+        if self.bits is None:
+            return lp, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for at, k in _grams(tok, doc):
+            hit = self.bits.has(k)
+            at, k = at[hit], k[hit]
+            where = find(self.keys, k)
+            known = where >= 0
+            lp[at[known]] += self.terms[where[known]]
+            docs.append(doc[at[~known]])
+            keys.append(k[~known])
+        docs, keys = np.concatenate(docs), np.concatenate(keys)
+        order = np.argsort(docs, kind="stable")
+        return lp, docs[order], keys[order]
+
+
+def _pairs(tok: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of tokens that have one before them, and the key of both."""
+    at = np.flatnonzero(_before(doc, 1))
+    return at, W.chain(tok[at - 1], tok[at]).view(np.int64)
+
+
+def _triples(tok: np.ndarray, doc: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of tokens that have two before them, the key of those two, and the key of the last two of the three."""
+    two = np.flatnonzero(_before(doc, 2)[at])
+    return at[two], key[two - 1], key[two]
+
+
+def _grams(tok: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and keys of all that may hold a term of a token."""
+    at, key = _pairs(tok, doc)
+    far, node, last = _triples(tok, doc, at, key)
+    return [(at, tok[at - 1].view(np.int64) ^ ONE), (at, key), (far, node ^ TWO), (far, node ^ (last << np.int64(1)))]
 
 
 def _counted(keys_of):
@@ -160,58 +185,107 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pdf["k"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64)
 
 
-def _retained(node: np.ndarray, n: int, counts: np.ndarray, total: np.ndarray, parent_p: np.ndarray, divergence: float):
-    """Which contexts stay, their totals, and the mass that their kept next words leave."""
-    kept = np.bincount(node, counts, n) if n else np.zeros(0)
-    share = counts / np.maximum(total[node], 1)
-    gap = np.bincount(node, share * np.log(share / parent_p), n) if n else np.zeros(0)
+def _found(wanted, deep):
+    """A mapInArrow function: (key, first word, second word, 0) of wanted pairs, and (context, its last word's pair, 0, count) of triples in deep contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair_bits, deep_bits = wanted.value, deep.value
+        seen = np.zeros(0, np.int64)
+        for batch in batches:
+            data, off = W.buffers(batch.column("text"))
+            for i, j in W.doc_groups(off):
+                tok, doc = tokens(data, off[i : j + 1])
+                at, key = _pairs(tok, doc)
+                far, node, last = _triples(tok, doc, at, key)
+                hit = np.flatnonzero(pair_bits.has(key))
+                k, first = np.unique(key[hit], return_index=True)
+                at = at[hit][first]
+                fresh = find(seen, k) < 0
+                k, at = k[fresh], at[fresh]
+                seen = np.union1d(seen, k) if len(seen) < HELD else k
+                hit = np.flatnonzero(deep_bits.has(node) & pair_bits.has(last))
+                node, last = node[hit], last[hit]
+                _, first, c = np.unique(node ^ (last << np.int64(1)), return_index=True, return_counts=True)
+                x, y = np.concatenate((k, node[first])), np.concatenate((tok[at - 1].view(np.int64), last[first]))
+                z, n = np.concatenate((tok[at].view(np.int64), np.zeros(len(c), np.int64))), np.concatenate((np.zeros(len(k), np.int64), c))
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (x, y, z, n)], ["x", "y", "z", "c"])
+
+    return run
+
+
+def _nodes(kids: DataFrame, divergence: float) -> DataFrame:
+    """kids: (node, total, c, parent), c and the parent's probability of each kept next word. (node, total, rest) of retained contexts."""
+    share = F.col("c") / F.col("total")
+    sums = kids.groupBy("node", "total").agg(F.sum("c").alias("kept"), F.sum(share * F.log(share / F.col("parent"))).alias("gap"), F.sum("parent").alias("parents"))
     # What is left follows the parent's distribution, scaled; its term of the divergence is that of two masses.
-    rest, rest_p = 1 - kept / np.maximum(total, 1), 1 - (np.bincount(node, parent_p, n) if n else np.zeros(0))
-    ok = (rest > 0) & (rest_p > 0)
-    gap = gap + np.where(ok, rest * np.log(np.where(ok, rest, 1) / np.where(ok, rest_p, 1)), 0)
-    return gap >= divergence, total.astype(np.float64), (total - kept).astype(np.float64)
+    rest, rest_p = 1 - F.col("kept") / F.col("total"), 1 - F.col("parents")
+    gap = F.col("gap") + F.when((rest > 0) & (rest_p > 0), rest * F.log(rest / rest_p)).otherwise(0.0)
+    return sums.where(gap >= divergence).select("node", "total", (F.col("total") - F.col("kept")).alias("rest"))
+
 
+def _terms(nodes: DataFrame, kids: DataFrame, mark: np.int64, key: Column) -> DataFrame:
+    """(k, c, term): of retained contexts, and of their kept next words beyond the context's."""
+    back = (F.col("rest") + 1) / (F.col("total") + 1)
+    own = nodes.select(F.col("node").bitwiseXOR(F.lit(int(mark))).alias("k"), F.col("total").alias("c"), F.log10(back).alias("term"))
+    more = F.log10((F.col("c") / (F.col("total") + 1) + back * F.col("parent")) / (back * F.col("parent")))
+    return own.union(kids.join(nodes.select("node", "rest"), "node").select(key.alias("k"), "c", more.alias("term")))
 
-def fit(train: DataFrame, word_share: float = 1e-6, pair_share: float = 4e-6, context_share: float = 2e-5, divergence: float = 0.05) -> tuple[DataFrame, Model]:
-    """train: (text). The counts of all tokens (k, c), in the shared folder, and the model."""
+
+def fit(train: DataFrame, word_share: float = 1e-6, pair_share: float = 4e-6, context_share: float = 2e-5, divergence: float = 0.05, min_next: int = 16, min_context: int = 80) -> tuple[DataFrame, Model, DataFrame | None]:
+    """train: (text). The counts of all tokens (k, c), the model's broadcast part, and its other terms (k, term), both tables in the shared folder."""
+    share = train.sparkSession.sparkContext.broadcast
     vocab = scratch(_sums(train, lambda d, o: tokens(d, o)[0].view(np.int64)))
+    tidy(train.sparkSession)
     total, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     m = Model(*_arrays(vocab.where(F.col("c") >= word_share * total)), total, distinct)
     if not total:
-        return vocab, m
-    least = max(pair_share * total, 2)
+        return vocab, m, None
+    least, least_context = max(min(min_next, pair_share * total), 2), min(min_context, context_share * total)
 
-    def pairs(d, o):
-        k = m.pair_keys(*m.places(d, o)[1:])
-        return k[k >= 0]
+    # A pair is no more frequent than either of its words.
+    often = vocab.where(F.col("c") >= least).select("k")
+    word_bits = share(Bits(often, often.count()))
 
-    m.pairs, m.pair_counts = _arrays(_sums(train, pairs).where(F.col("c") >= least))
-    n = len(m.words)
-    before = m.pairs // n
+    def pairs(d, o):
+        tok, doc = tokens(d, o)
+        at, key = _pairs(tok, doc)
+        fine = word_bits.value.has(tok.view(np.int64))
+        return key[fine[at] & fine[at - 1]]
+
+    counts = scratch(_sums(train, pairs).where(F.col("c") >= least))
+    tidy(train.sparkSession)
+    deep = counts.where(F.col("c") >= least_context)
+    bits = [share(Bits(rows.select("k"), rows.count())) for rows in (counts, deep)]
+    found = scratch(train.mapInArrow(_found(*bits), "x long, y long, z long, c long").groupBy("x", "y", "z").agg(F.sum("c").alias("c")).where((F.col("c") == 0) | (F.col("c") >= least)))
+    tidy(train.sparkSession)
+
+    root = (F.col("word_c") + 1) / F.lit(float(total + distinct + 1))
+    kids = found.where("c = 0").select(F.col("x").alias("k"), F.col("y").alias("node"), F.col("z").alias("word")).join(counts, "k")
+    kids = kids.join(vocab.select(F.col("k").alias("word"), F.col("c").alias("word_c")), "word").join(vocab.select(F.col("k").alias("node"), F.col("c").alias("total")), "node")
     # Every word is followed by a word or the end, so a word's count is its total as a context.
-    m.one = _retained(before, n, m.pair_counts, m.counts, m.root(m.pairs % n), divergence)
-    m.one = (m.one[0] & (m.counts >= context_share * total), *m.one[1:])
+    kids = scratch(kids.select("k", "node", "total", "c", root.alias("parent")))
+    tidy(train.sparkSession)
+    ones = scratch(_nodes(kids.where(F.col("total") >= least_context), divergence))
+    p = F.when(F.col("rest").isNull(), F.col("parent")).otherwise((F.col("c") + (F.col("rest") + 1) * F.col("parent")) / (F.col("total") + 1))
+    # The parent's probability of a triple's last word: of the pair without the oldest word, where that context stays.
+    above = kids.join(ones.select("node", "rest"), "node", "left").select(F.col("k").alias("last"), p.alias("parent"))
+    far = found.where("c > 0").select(F.col("x").alias("node"), F.col("y").alias("last"), "c").join(deep.select(F.col("k").alias("node"), F.col("c").alias("total")), "node")
+    far = scratch(far.join(above, "last"))
+    tidy(train.sparkSession)
+    last = F.col("node").bitwiseXOR(F.call_function("shiftleft", F.col("last"), F.lit(1)))
+    terms = scratch(_terms(ones, kids, ONE, F.col("k")).union(_terms(_nodes(far, divergence), far, TWO, last)))
 
-    wide = (m.pair_counts >= max(context_share * total, 2)) & (m.words[m.pairs % n] != np.int64(END))
-    m.deep = m.pairs[wide]
+    hot = F.col("c") >= word_share * total
+    pdf = terms.where(hot).select("k", "term").toPandas().sort_values("k")
+    m.keys, m.terms = pdf["k"].to_numpy(np.int64), pdf["term"].to_numpy(np.float64)
+    m.bits = Bits(terms.select("k"), terms.count())
+    tidy(train.sparkSession)
+    return vocab, m, terms.where(~hot).select("k", "term")
 
-    def triples(d, o):
-        _, doc, at = m.places(d, o)
-        deep = m.deep_before(doc, at)
-        ok = (deep >= 0) & (at >= 0)
-        return deep[ok] * n + at[ok]
 
-    m.triples, m.triple_counts = _arrays(_sums(train, triples).where(F.col("c") >= least))
-    # The parent's probability of a triple's last word: of the pair without the oldest word, where that context stays.
-    node, word = m.triples // n, m.triples % n
-    middle = m.deep[node] % n if len(m.deep) else node
-    kept, sums, rest = m.one
-    where = find(m.pairs, middle * n + word)
-    seen = np.where(where >= 0, m.pair_counts[np.maximum(where, 0)] if len(m.pairs) else 0, 0)
-    p0 = m.root(word)
-    parent = np.where(kept[middle], (seen + (rest[middle] + 1) * p0) / (sums[middle] + 1), p0)
-    m.two = _retained(node, len(m.deep), m.triple_counts, m.pair_counts[wide], parent, divergence)
-    return vocab, m
+def _lists(doc: np.ndarray, keys: np.ndarray, n: int) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys, pa.int64()))
 
 
 def _scored(shared):
@@ -220,33 +294,38 @@ def _scored(shared):
         for batch in batches:
             data, off = W.buffers(batch.column("text"))
             for i, j in W.doc_groups(off):
-                tok, doc, at = m.places(data, off[i : j + 1])
-                lp, base = m.score(doc, at)
+                tok, doc = tokens(data, off[i : j + 1])
+                at = find(m.words, tok.view(np.int64))
+                base = m.root(at)
+                lp, cold_doc, cold = m.score(tok, doc, base)
                 n, known = j - i, at >= 0
                 rare = ~known
-                ends = np.concatenate(([0], np.cumsum(np.bincount(doc[rare], minlength=n)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tok[rare].view(np.int64)))
                 cols = [np.bincount(doc, minlength=n), np.bincount(doc[known], minlength=n)]
                 sums = [np.bincount(doc, x, n) for x in (base, lp)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), batch.column("held_out").slice(i, n), *(pa.array(c, pa.int64()) for c in cols), *map(pa.array, sums), lists], ["doc_id", "held_out", "n_tokens", "known", "base", "lp", "rare"])
+                lists = [_lists(doc[rare], tok[rare].view(np.int64), n), _lists(cold_doc, cold, n)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), batch.column("held_out").slice(i, n), *(pa.array(c, pa.int64()) for c in cols), *map(pa.array, sums), *lists], ["doc_id", "held_out", "n_tokens", "known", "base", "lp", "rare", "cold"])
 
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **shares: float) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **sizes: float) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col), filled(F.col(text_col)).alias("text"), held_out.alias("held_out")).select(F.col(id_col).alias("doc_id"), "text", "held_out")
-    vocab, model = fit(rows.where(~F.col("held_out")).select("text"), **shares)
+    vocab, model, cold = fit(rows.where(~F.col("held_out")).select("text"), **sizes)
     kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, lp double, rare array<long>"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, lp double, rare array<long>, cold array<long>"
     part = scratch(rows.mapInArrow(_scored(spark.sparkContext.broadcast(model)), schema).withColumn("row", F.monotonically_increasing_id()))
     rare = part.select("row", F.explode("rare").alias("k")).join(vocab, "k", "left")
     spread = math.log10(model.total + model.distinct + 1)
     sums = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - F.lit(spread)).alias("more"), F.count("c").alias("met"))
-    out = part.drop("rare").join(sums, "row", "left")
+    out = part.drop("rare", "cold").join(sums, "row", "left")
+    if cold is None:
+        out = out.withColumn("deeper", F.lit(0.0))
+    else:
+        out = out.join(part.select("row", F.explode("cold").alias("k")).join(cold, "k").groupBy("row").agg(F.sum("term").alias("deeper")), "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("lp") + more).alias("score"),
+        F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("lp") + more + F.coalesce("deeper", F.lit(0.0))).alias("score"),
     )
