@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: A word is a run of anything but these ASCII blanks.
@@ -30,37 +29,42 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder of our own only where that is unset."""
+    """spark.checkpoint.dir of the session. Only a local master may go without: it then gets a temporary folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-_written: list[str] = []
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def scratch(df: DataFrame, lasting: bool = False) -> DataFrame:
+def scratch(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage, outlives executors.
 
-    Folders go when the session's JVM ends, and those that are not lasting with release().
+    It stays as long as the session's JVM, so that any result may read it at any time, unless its maker discards it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ledgerlake/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    if not lasting:
-        _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every table that scratch() has written. What was read from them must have been used up."""
-    while _written:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that scratch() made and that no later result reads: each operator names its own, and no others."""
+    for t in tables:
+        fs, where = _file_system(t.sparkSession, t._scratch_path)
+        fs.delete(where, True)
 
 
 def tidy(spark: SparkSession) -> None:
@@ -107,7 +111,6 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
         .distinct()
     )
-    tidy(edges.sparkSession)
     for _ in range(limit):
         if _all_stars(now):
             break
@@ -116,19 +119,12 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # The same with what lies below each node: every edge already goes from the larger node to the smaller.
         down = scratch(large)
+        discard(now)
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         now = scratch(small)
+        discard(down)
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
-
-
-def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
-    """Only these columns, so that no other column can clash with an operator's own."""
-    return docs.select(*[F.col(f"`{n}`") for n in names])
-
-
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(schema))
