@@ -6,22 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import jaccard, lines, mixing, packing, quality
-from ledgerlake.llm.common import WORD, filled, release, scratch
+from ledgerlake.llm.common import WORD, filled, scratch
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    release(spark)
-    keyed = docs.withColumn("_text_key", F.xxhash64(filled(F.col("text"))))
     judged = quality.quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = judged.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    on = keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_text_key"] == kept["_key"])
-    return keyed.join(kept, on, "left_semi").select(*docs.columns)
+    kept = judged.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(filled(F.col("text"))).alias("key"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi").select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs of 50 words or more go; so do documents that have no word left."""
-    release(spark)
     out = lines.dedup_lines(docs, min_words=50)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
@@ -30,19 +27,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    release(spark)
     return jaccard.one_per_component(docs, k=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document taken twice is there twice."""
-    release(spark)
     return mixing.apply_mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Batches of like-sized pieces: doc_id, piece, first_word, n_words, bucket_len, batch_id, slot."""
-    release(spark)
     return packing.pack(docs)
 
 
@@ -62,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), lasting=True)
+        docs = scratch(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
