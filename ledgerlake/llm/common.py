@@ -67,28 +67,48 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(where, True)
 
 
+def sieve(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that may be among the keys (k, 64 bits), and rows that are not, by a bitmap of the keys' upper bits.
+
+    The bitmap has 16 bits a key and 2**25 at most, in a table of at most 2**19 words, which is broadcast. With more keys it lets more through, in the end
+    all; so a join that follows is exact at any size, and moves few rows as long as the keys are few.
+    """
+    keys = scratch(keys.select("k").distinct())
+    bits = min(max((keys.count() * 16).bit_length(), 12), 25)
+    place = lambda c: F.shiftrightunsigned(c, 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place(F.col("k")) % 64).cast("int"))
+    words = scratch(keys.groupBy(F.shiftright(place(F.col("k")), 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")))
+    discard(keys)
+    at = rows.withColumn("_place", place(key)).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(words), "_word", "left")
+    hit = F.coalesce(F.call_function("shiftrightunsigned", "_bits", (F.col("_place") % 64).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+    return at.where(hit).select(*rows.columns), at.where(~hit).select(*rows.columns)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished jobs now, instead of whenever the driver's garbage is collected."""
     spark.sparkContext._jvm.System.gc()
 
 
-def global_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
-    """Adds 0-based positions in a total order, without one task that sorts everything.
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds the sums over all rows before each row in a total order, without one task that sorts everything.
 
-    Rows are range partitioned and numbered inside each partition; only the partitions' counts,
+    Rows are range partitioned and summed inside each partition; only the partitions' totals,
     as many as there are partitions, come to the driver.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    numbered = scratch(dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order))))
-    counts = {r["_pid"]: r["n"] for r in numbered.groupBy("_pid").agg(F.count("*").alias("n")).collect()}
-    before, start = {}, 0
-    for pid in sorted(counts):
-        before[pid] = start
-        start += counts[pid]
-    at = spark.createDataFrame([(p, b) for p, b in before.items()], "_pid int, _before long")
-    return numbered.join(F.broadcast(at), "_pid").withColumn(name, (F.col("_before") + F.col("_rn") - 1).cast("long")).drop("_pid", "_rn", "_before")
+    window = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = df.withColumns({f"_{k}": c for k, c in sums.items()}).repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    inside = scratch(dealt.withColumns({k: F.coalesce(F.sum(f"_{k}").over(window), F.lit(0)) for k in sums}))
+    totals = {r["_pid"]: r for r in inside.groupBy("_pid").agg(*[F.sum(f"_{k}").alias(k) for k in sums]).collect()}
+    before, rows = dict.fromkeys(sums, 0), []
+    for pid in sorted(totals):
+        rows.append((pid, *before.values()))
+        before = {k: before[k] + (totals[pid][k] or 0) for k in sums}
+    kinds = dict(inside.dtypes)
+    rows = [(pid, *(float(v) if kinds[k] == "double" else v for k, v in zip(sums, held))) for pid, *held in rows]
+    at = spark.createDataFrame(rows, "_pid int, " + ", ".join(f"_before_{k} {kinds[k]}" for k in sums))
+    return inside.join(F.broadcast(at), "_pid").withColumns({k: F.col(k) + F.col(f"_before_{k}") for k in sums}).drop("_pid", *[f"_{k}" for k in sums], *[f"_before_{k}" for k in sums])
 
 
 def _all_stars(edges: DataFrame) -> bool:

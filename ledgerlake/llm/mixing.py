@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import filled, global_index, n_words, scratch
+from .common import filled, n_words, running, scratch
 
 BITS, LEVELS, SALTS = 8, 8, 16
 LOWEST = -(1 << 63)
@@ -36,20 +36,22 @@ def _bucket(level: int) -> Column:
 
 
 def fill_targets(sources: DataFrame, total: float, share: float, cap: float) -> DataFrame:
-    """Adds target = min(cap * source_size, level * weight), the level found by raising it until the shares add up."""
+    """Adds target = min(cap * source_size, level * weight), at the level where the targets add up to share * total.
+
+    A source is full from the level cap * source_size / weight on. In the order of those levels, what the targets add up to at each of them
+    comes from two running sums, so the stretch that holds the level is found without a loop; if all sources are full
+    before, there is no level and the targets are the caps.
+    """
     capped = F.col("source_size") * F.lit(float(cap))
-    left = total * share
-    level = -1.0
-    for _ in range(1000):
-        full = capped <= F.col("weight") * F.lit(level)
-        r = sources.agg(F.sum(F.when(full, capped).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
-        if not r[1]:
-            break
-        up = (left - r[0]) / r[1]
-        if up <= level:
-            break
-        level = up
-    return sources.withColumn("target", F.least(capped, F.col("weight") * F.lit(max(level, 0.0))))
+    known = sources.withColumns({"capped": capped, "full_at": capped / F.col("weight")})
+    sums = running(known, [F.col("full_at"), F.col("skey")], {"full": F.col("capped"), "heavy": F.col("weight")})
+    weights = known.agg(F.sum("weight")).first()[0] or 0.0
+    reached = F.col("full") + (F.lit(weights) - F.col("heavy")) * F.col("full_at")
+    edge = sums.where(reached >= F.lit(total * share)).agg(F.min(F.struct("full_at", "skey", "full", "heavy"))).first()[0]
+    if edge is None:
+        return sources.withColumn("target", capped)
+    level = max((total * share - edge["full"]) / (weights - edge["heavy"]), 0.0)
+    return sources.withColumn("target", F.least(capped, F.col("weight") * F.lit(level)))
 
 
 def mix_plan(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -57,7 +59,7 @@ def mix_plan(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: fl
     the last hash that gets one more (null: none does)."""
     spark = sized.sparkSession
     sums = sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
-    ranked = global_index(sums, [F.col("source").isNull(), F.col("source")], "rank")
+    ranked = running(sums, [F.col("source").isNull(), F.col("source")], {"rank": F.lit(1)})
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     ranked = scratch(ranked.withColumn("weight", w))
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
