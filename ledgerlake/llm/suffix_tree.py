@@ -1,14 +1,15 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-The tree's nodes are contexts of up to two words that came before. A context is a candidate when it occurs min_context
-times, and is retained when its next-word distribution differs from its parent's (the context without its oldest word)
-by at least `divergence` nats. A node keeps the next words that occur min_next times after it; the rest of its mass, plus
+The tree's nodes are contexts of words that came before, of any length up to max_depth. A context is a candidate when it occurs
+min_context times, and is retained when its next-word distribution differs from its parent's (the context without its oldest word)
+by at least `divergence` nats. Levels are searched one by one: a context of d + 1 words lies in a candidate of d words, and the search ends
+with the first level that has none. A node keeps the next words that occur min_next times after it; the rest of its mass, plus
 one, goes to its parent's distribution, and at the root every word has (count + 1) / (N + V + 1). A token is scored at
 the longest retained suffix of what precedes it in its text. In small corpora the floors are lower: the shares of
 the training tokens, where those are less than min_context and min_next.
 
-The model grows with the corpus and lies in partitioned tables. In logarithms a token's score is a sum: the root's, and a
-term each for a retained context of one word, a kept next word of it, and the same for two words. So the model is a table of
+The model grows with the corpus and lies in partitioned tables. In logarithms a token's score is a sum: the root's, and for each
+length a term of the context, if it is retained, and one of the next word, if that is kept after it. So the model is a table of
 keys and terms. Terms and words that make up word_share of the training tokens (at most 1 / word_share of each kind) are broadcast, which saves
 time and changes no result; keys of other terms, and rare words, meet their terms and counts in a join. Bitmaps of keys
 pass over what has no term; they can only let too much through.
@@ -33,8 +34,6 @@ from .common import filled, scratch, tidy
 
 END = np.uint64(0x5DEECE66D)
 HELD = 1 << 21
-#: Set contexts of one and of two words apart from the keys of next words.
-ONE, TWO = np.int64(0x1F83D9ABFB41BD6B), np.int64(0x5BE0CD19137E2179)
 MOST_BITS = 28
 
 
@@ -112,11 +111,11 @@ class Bits:
 
 class Model:
     """words: hashes of frequent words, sorted, with counts. keys: those of frequent terms, sorted, with the terms;
-    bits: a bitmap of the keys of all terms. cold: the table (k, term) of the others."""
+    bits: a bitmap of the keys of all terms; depth: the length of the longest contexts."""
 
     def __init__(self, words, counts, total, distinct):
         self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
-        self.keys, self.terms, self.bits = np.zeros(0, np.int64), np.zeros(0), None
+        self.keys, self.terms, self.bits, self.depth = np.zeros(0, np.int64), np.zeros(0), None, 0
 
     def root(self, at: np.ndarray) -> np.ndarray:
         """log10 of the root's probability of frequent words; 0 for others."""
@@ -129,7 +128,7 @@ class Model:
         lp, docs, keys = base.copy(), [], []
         if self.bits is None:
             return lp, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at, k in _grams(tok, doc):
+        for at, k in _grams(tok, doc, self.depth):
             hit = self.bits.has(k)
             at, k = at[hit], k[hit]
             where = find(self.keys, k)
@@ -142,23 +141,29 @@ class Model:
         return lp, docs[order], keys[order]
 
 
-def _pairs(tok: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of tokens that have one before them, and the key of both."""
-    at = np.flatnonzero(_before(doc, 1))
-    return at, W.chain(tok[at - 1], tok[at]).view(np.int64)
+def _marked(node, depth: int):
+    """The key of a context of depth words, apart from those of next words."""
+    mark = int(W.mix(np.array([0x1F83D9AB + depth], np.uint64)).view(np.int64)[0])
+    return node ^ np.int64(mark) if isinstance(node, np.ndarray) else node.bitwiseXOR(F.lit(mark))
 
 
-def _triples(tok: np.ndarray, doc: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of tokens that have two before them, the key of those two, and the key of the last two of the three."""
-    two = np.flatnonzero(_before(doc, 2)[at])
-    return at[two], key[two - 1], key[two]
+def _levels(tok: np.ndarray, doc: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For 1 to depth words of context: places of tokens that have so many before them, the context's key, the key of the context
+    and the token, and that key without the oldest word."""
+    at, key = np.arange(len(tok)), tok.view(np.int64)
+    for gap in range(1, depth + 1):
+        far = np.flatnonzero(_before(doc, gap)[at])
+        node, last = key[far - 1], key[far]  # a token that has gap words before it follows one that has gap - 1
+        at = at[far]
+        key = W.chain(node.view(np.uint64), tok[at]).view(np.int64)
+        yield at, node, key, last
 
 
-def _grams(tok: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _grams(tok: np.ndarray, doc: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and keys of all that may hold a term of a token."""
-    at, key = _pairs(tok, doc)
-    far, node, last = _triples(tok, doc, at, key)
-    return [(at, tok[at - 1].view(np.int64) ^ ONE), (at, key), (far, node ^ TWO), (far, node ^ (last << np.int64(1)))]
+    for d, (at, node, key, _) in enumerate(_levels(tok, doc, depth), 1):
+        yield at, _marked(node, d)
+        yield at, key
 
 
 def _counted(keys_of):
@@ -185,30 +190,29 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pdf["k"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64)
 
 
-def _found(wanted, deep):
-    """A mapInArrow function: (key, first word, second word, 0) of wanted pairs, and (context, its last word's pair, 0, count) of triples in deep contexts."""
+def _deeper(depth: int, kept, deep):
+    """A mapInArrow function: (context, key, last, count) of next words after candidates of depth words.
+
+    kept: a bitmap of the keys of depth words that are frequent enough to end a longer one; deep: of the candidates. With counted pairs (depth 1)
+    kept has the pairs themselves, and each comes once from a task, with no count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair_bits, deep_bits = wanted.value, deep.value
         seen = np.zeros(0, np.int64)
         for batch in batches:
             data, off = W.buffers(batch.column("text"))
             for i, j in W.doc_groups(off):
                 tok, doc = tokens(data, off[i : j + 1])
-                at, key = _pairs(tok, doc)
-                far, node, last = _triples(tok, doc, at, key)
-                hit = np.flatnonzero(pair_bits.has(key))
-                k, first = np.unique(key[hit], return_index=True)
-                at = at[hit][first]
-                fresh = find(seen, k) < 0
-                k, at = k[fresh], at[fresh]
-                seen = np.union1d(seen, k) if len(seen) < HELD else k
-                hit = np.flatnonzero(deep_bits.has(node) & pair_bits.has(last))
-                node, last = node[hit], last[hit]
-                _, first, c = np.unique(node ^ (last << np.int64(1)), return_index=True, return_counts=True)
-                x, y = np.concatenate((k, node[first])), np.concatenate((tok[at - 1].view(np.int64), last[first]))
-                z, n = np.concatenate((tok[at].view(np.int64), np.zeros(len(c), np.int64))), np.concatenate((np.zeros(len(k), np.int64), c))
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (x, y, z, n)], ["x", "y", "z", "c"])
+                for at, node, key, last in _levels(tok, doc, depth):
+                    pass
+                hit = np.flatnonzero(kept.value.has(key) if depth == 1 else deep.value.has(node) & kept.value.has(last))
+                k, first, c = np.unique(key[hit], return_index=True, return_counts=True)
+                node, last = node[hit][first], last[hit][first]
+                if depth == 1:
+                    fresh = find(seen, k) < 0
+                    k, node, last, c = k[fresh], node[fresh], last[fresh], np.zeros(int(fresh.sum()), np.int64)
+                    seen = np.union1d(seen, k) if len(seen) < HELD else k
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (node, k, last, c)], ["node", "k", "last", "c"])
 
     return run
 
@@ -223,61 +227,68 @@ def _nodes(kids: DataFrame, divergence: float) -> DataFrame:
     return sums.where(gap >= divergence).select("node", "total", (F.col("total") - F.col("kept")).alias("rest"))
 
 
-def _terms(nodes: DataFrame, kids: DataFrame, mark: np.int64, key: Column) -> DataFrame:
+def _terms(nodes: DataFrame, kids: DataFrame, depth: int) -> DataFrame:
     """(k, c, term): of retained contexts, and of their kept next words beyond the context's."""
     back = (F.col("rest") + 1) / (F.col("total") + 1)
-    own = nodes.select(F.col("node").bitwiseXOR(F.lit(int(mark))).alias("k"), F.col("total").alias("c"), F.log10(back).alias("term"))
+    own = nodes.select(_marked(F.col("node"), depth).alias("k"), F.col("total").alias("c"), F.log10(back).alias("term"))
     more = F.log10((F.col("c") / (F.col("total") + 1) + back * F.col("parent")) / (back * F.col("parent")))
-    return own.union(kids.join(nodes.select("node", "rest"), "node").select(key.alias("k"), "c", more.alias("term")))
+    return own.union(kids.select("node", "k", "c", "parent").join(nodes, "node").select("k", "c", more.alias("term")))
 
 
-def fit(train: DataFrame, word_share: float = 1e-6, pair_share: float = 4e-6, context_share: float = 2e-5, divergence: float = 0.05, min_next: int = 16, min_context: int = 80) -> tuple[DataFrame, Model, DataFrame | None]:
+def fit(train: DataFrame, word_share: float = 1e-6, pair_share: float = 4e-6, context_share: float = 2e-5, divergence: float = 0.05, min_next: int = 16, min_context: int = 80, max_depth: int = 5) -> tuple[DataFrame, Model, DataFrame | None]:
     """train: (text). The counts of all tokens (k, c), the model's broadcast part, and its other terms (k, term), both tables in the shared folder."""
     share = train.sparkSession.sparkContext.broadcast
+    bits = lambda rows: share(Bits(rows.select("k"), rows.count()))
     vocab = scratch(_sums(train, lambda d, o: tokens(d, o)[0].view(np.int64)))
     tidy(train.sparkSession)
     total, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     m = Model(*_arrays(vocab.where(F.col("c") >= word_share * total)), total, distinct)
     if not total:
         return vocab, m, None
-    least, least_context = max(min(min_next, pair_share * total), 2), min(min_context, context_share * total)
+    least, least_context = max(min(min_next, pair_share * total), 2), max(min(min_context, context_share * total), 2)
 
-    # A pair is no more frequent than either of its words.
-    often = vocab.where(F.col("c") >= least).select("k")
-    word_bits = share(Bits(often, often.count()))
+    # Pairs are counted by key alone, as they are many; a pair is no more frequent than either of its words.
+    word_bits = bits(vocab.where(F.col("c") >= least))
 
     def pairs(d, o):
         tok, doc = tokens(d, o)
-        at, key = _pairs(tok, doc)
+        at, _, key, _ = next(_levels(tok, doc, 1))
         fine = word_bits.value.has(tok.view(np.int64))
         return key[fine[at] & fine[at - 1]]
 
     counts = scratch(_sums(train, pairs).where(F.col("c") >= least))
     tidy(train.sparkSession)
-    deep = counts.where(F.col("c") >= least_context)
-    bits = [share(Bits(rows.select("k"), rows.count())) for rows in (counts, deep)]
-    found = scratch(train.mapInArrow(_found(*bits), "x long, y long, z long, c long").groupBy("x", "y", "z").agg(F.sum("c").alias("c")).where((F.col("c") == 0) | (F.col("c") >= least)))
-    tidy(train.sparkSession)
 
-    root = (F.col("word_c") + 1) / F.lit(float(total + distinct + 1))
-    kids = found.where("c = 0").select(F.col("x").alias("k"), F.col("y").alias("node"), F.col("z").alias("word")).join(counts, "k")
-    kids = kids.join(vocab.select(F.col("k").alias("word"), F.col("c").alias("word_c")), "word").join(vocab.select(F.col("k").alias("node"), F.col("c").alias("total")), "node")
-    # Every word is followed by a word or the end, so a word's count is its total as a context.
-    kids = scratch(kids.select("k", "node", "total", "c", root.alias("parent")))
-    tidy(train.sparkSession)
-    ones = scratch(_nodes(kids.where(F.col("total") >= least_context), divergence))
-    p = F.when(F.col("rest").isNull(), F.col("parent")).otherwise((F.col("c") + (F.col("rest") + 1) * F.col("parent")) / (F.col("total") + 1))
-    # The parent's probability of a triple's last word: of the pair without the oldest word, where that context stays.
-    above = kids.join(ones.select("node", "rest"), "node", "left").select(F.col("k").alias("last"), p.alias("parent"))
-    far = found.where("c > 0").select(F.col("x").alias("node"), F.col("y").alias("last"), "c").join(deep.select(F.col("k").alias("node"), F.col("c").alias("total")), "node")
-    far = scratch(far.join(above, "last"))
-    tidy(train.sparkSession)
-    last = F.col("node").bitwiseXOR(F.call_function("shiftleft", F.col("last"), F.lit(1)))
-    terms = scratch(_terms(ones, kids, ONE, F.col("k")).union(_terms(_nodes(far, divergence), far, TWO, last)))
+    # grams: (k, c, p), keys of depth words and the model's probability of the last of them after the others.
+    grams = vocab.where(F.col("c") >= least).select("k", "c", ((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("p"))
+    kept, terms, depth = bits(counts), None, 0
+    while depth < max_depth:
+        deep = grams.where(F.col("c") >= least_context)
+        if deep.isEmpty():
+            break
+        depth += 1
+        met = train.mapInArrow(_deeper(depth, kept, bits(deep) if depth > 1 else None), "node long, k long, last long, c long")
+        if depth == 1:
+            met = met.dropDuplicates(["k"]).drop("c").join(counts, "k")
+        else:
+            met = met.groupBy("node", "k", "last").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+        kids = met.join(grams.select(F.col("k").alias("last"), F.col("p").alias("parent")), "last")
+        kids = kids.join(grams.select(F.col("k").alias("node"), F.col("c").alias("total")), "node")
+        kids = scratch(kids.select("k", "node", "total", "c", "parent"))
+        tidy(train.sparkSession)
+        nodes = scratch(_nodes(kids.where(F.col("total") >= least_context), divergence))
+        found = _terms(nodes, kids, depth)
+        terms = found if terms is None else terms.union(found)
+        p = F.when(F.col("rest").isNull(), F.col("parent")).otherwise((F.col("c") + (F.col("rest") + 1) * F.col("parent")) / (F.col("total") + 1))
+        grams = scratch(kids.join(nodes.select("node", "rest"), "node", "left").select("k", "c", p.alias("p")))
+        kept = bits(grams)
+    if terms is None:
+        return vocab, m, None
+    terms = scratch(terms)
 
     hot = F.col("c") >= word_share * total
     pdf = terms.where(hot).select("k", "term").toPandas().sort_values("k")
-    m.keys, m.terms = pdf["k"].to_numpy(np.int64), pdf["term"].to_numpy(np.float64)
+    m.keys, m.terms, m.depth = pdf["k"].to_numpy(np.int64), pdf["term"].to_numpy(np.float64), depth
     m.bits = Bits(terms.select("k"), terms.count())
     tidy(train.sparkSession)
     return vocab, m, terms.where(~hot).select("k", "term")

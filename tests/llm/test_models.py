@@ -15,30 +15,15 @@ from ledgerlake.llm import suffix_tree, toxicity
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute_scores(rows, held, word_share, pair_share, context_share, divergence):
+def brute_scores(rows, held, word_share, pair_share, context_share, divergence, max_depth):
     seqs = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(t or "")] + [None] for _, t in rows]
     train = [s for s, (d, _) in zip(seqs, rows) if not held(d)]
-    c1 = Counter(w for s in train for w in s)
-    n, v = sum(c1.values()), len(c1)
-    p0 = lambda w: (c1[w] + 1) / (n + v + 1)
-    freq = {w for w in c1 if c1[w] >= word_share * n}
-    least = max(pair_share * n, 2)
-    c2 = Counter((a, b) for s in train for a, b in zip(s, s[1:]) if a in freq and b in freq)
-    c2 = {k: c for k, c in c2.items() if c >= least}
-    deep = {k for k, c in c2.items() if c >= max(context_share * n, 2) and k[1] is not None}
-    c3 = Counter((s[i], s[i + 1], s[i + 2]) for s in train for i in range(len(s) - 2) if (s[i], s[i + 1]) in deep and s[i + 2] in freq)
-    c3 = {k: c for k, c in c3.items() if c >= least}
+    count = [Counter(tuple(s[i : i + g]) for s in train for i in range(len(s) - g + 1)) for g in range(max_depth + 2)]
+    n, v = sum(count[1].values()), len(count[1])
+    p0 = lambda w: (count[1][w,] + 1) / (n + v + 1)
+    least, least_context = max(pair_share * n, 2), max(context_share * n, 2)
     nodes = {}
 
-    def add(ctx, total, kids, parent):
-        kept = sum(kids.values())
-        gap = sum(c / total * math.log(c / total / parent(w)) for w, c in kids.items())
-        rest, rest_p = 1 - kept / total, 1 - sum(parent(w) for w in kids)
-        if rest > 0 and rest_p > 0:
-            gap += rest * math.log(rest / rest_p)
-        if gap >= divergence:
-            nodes[ctx] = (total, kids, total - kept)
-
     def prob(w, ctx):
         if ctx == ():
             return p0(w)
@@ -47,35 +32,41 @@ def brute_scores(rows, held, word_share, pair_share, context_share, divergence):
         total, kids, rest = nodes[ctx]
         return (kids.get(w, 0) + (rest + 1) * prob(w, ctx[1:])) / (total + 1)
 
-    for u in freq:
-        if u is not None and c1[u] >= context_share * n:
-            add((u,), c1[u], {b: c for (a, b), c in c2.items() if a == u}, p0)
-    for k in deep:
-        add(k, c2[k], {w: c for (a, b, w), c in c3.items() if (a, b) == k}, lambda w, k=k: prob(w, k[1:]))
+    for g in range(1, max_depth + 1):
+        for ctx, total in count[g].items():
+            kids = {k[-1]: c for k, c in count[g + 1].items() if k[:-1] == ctx and c >= least} if total >= least_context else {}
+            if kids:
+                kept = sum(kids.values())
+                parent = {w: prob(w, ctx[1:]) for w in kids}
+                gap = sum(c / total * math.log(c / total / parent[w]) for w, c in kids.items())
+                rest, rest_p = 1 - kept / total, 1 - sum(parent.values())
+                if rest > 0 and rest_p > 0:
+                    gap += rest * math.log(rest / rest_p)
+                if gap >= divergence:
+                    nodes[ctx] = (total, kids, total - kept)
     out = []
     for (d, _), s in zip(rows, seqs):
         base = sum(math.log10(p0(w)) for w in s)
-        score = sum(math.log10(prob(w, tuple(s[max(0, i - 2) : i]))) for i, w in enumerate(s))
-        out.append((d, held(d), len(s), sum(c1[w] > 0 for w in s), n, base, score))
+        score = sum(math.log10(prob(w, tuple(s[max(0, i - max_depth) : i]))) for i, w in enumerate(s))
+        out.append((d, held(d), len(s), sum(count[1][w,] > 0 for w in s), n, base, score))
     return out, nodes
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_suffix_tree(spark, seed):
+@pytest.mark.parametrize(("seed", "max_depth"), [(1, 4), (2, 2)])
+def test_suffix_tree(spark, seed, max_depth):
     rnd = random.Random(seed)
     vocab = ["The", "the", "of", "a", "é", "x,", "y"] + [f"r{i}" for i in range(40)]
     rows = []
     for i in range(120):
         w = []
         while len(w) < rnd.randrange(60):
-            w += rnd.choice([[rnd.choice(vocab)], ["new", "york", "city"], ["old", "york", "town"], ["the", "end"]])
+            w += rnd.choice([[rnd.choice(vocab)], ["new", "york", "city"], ["old", "york", "town"], ["the", "end"], ["a", "very", "long", "phrase", "that", "ends"], ["some", "very", "long", "phrase", "here"]])
         rows.append((i, rnd.choice([" ", "\n"]).join(w)))
-    rows += [(500, None), (501, ""), (502, "\t"), (None, "the end"), (7, rows[7][1]), (503, "only once here"), (504, "the " * 50_000)]
+    rows += [(500, None), (501, ""), (502, "\t"), (None, "the end"), (7, rows[7][1]), (503, "only once here"), (504, "the " * 5_000)]
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
-    shares = {"word_share": 1e-4, "pair_share": 2e-4, "context_share": 5e-4, "divergence": 0.05}
+    shares = {"word_share": 1e-4, "pair_share": 2e-4, "context_share": 5e-4, "divergence": 0.05, "max_depth": max_depth}
     want, nodes = brute_scores(rows, held, **shares)
-    assert any(len(k) == 2 for k in nodes)
-    assert any(len(k) == 1 for k in nodes)
+    assert {len(k) for k in nodes} == set(range(1, max_depth + 1))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = suffix_tree.score_texts(df, toxicity.part_of(F.col("doc_id"), 7) == 2, **shares).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
