@@ -7,12 +7,15 @@ built where repeats can be:
 
 1. Anchors. Of the grams inside each window of `length` bytes, the one of the smallest hash (the first at ties) is the window's
    anchor, so equal windows have equal anchors at equal offsets. Windows whose anchor's gram is met once are unique.
-   Gram counts cover every text; repeated grams go out as a bitmap of fixed size, which only ever lets too much through.
+   Gram counts cover every text; repeated grams go out as a bitmap, FILTER_SHARE bits to a gram and 2**MOST_BITS at most, which only ever
+   lets too much through.
 2. Blocks. The windows of one anchor fall into blocks of BLOCK starts. A block's core is what all its windows share, and its
-   context all that they cover. Unique cores drop out; a context met twice makes all its windows repeated.
-3. Suffix order. Contexts that share a core are the only suffixes left that can match. Each bucket of them, one row per
-   distinct context, is put in suffix order (by name: equal prefixes of `length` bytes lie together), neighbours are compared
-   byte by byte, and the smallest position in each run of equals is the previous smaller position of all the others.
+   context all that they cover. Unique cores drop out. Equal contexts become one row with their number and their first place before
+   anything is gathered, so a passage that any number of documents share is one row.
+3. Suffix order. Contexts that share a core are the only suffixes left that can match. For each start in the block they are put in
+   suffix order, byte by byte, and neighbours' longest common prefixes are found. Where that prefix reaches `length`, the two are
+   factors of each other; in a run of such neighbours the suffix of the smallest position is the previous smaller position of all
+   others (on its left or its right), so only that one has no previous factor.
    Cores with more than `most` contexts are not gathered: their windows are grouped one by one.
 
 Defined cases: null texts are empty, empty texts stay; equal rows are copies of each other, and with keep="first" all of
@@ -30,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import filled, scratch, tidy
+from .common import discard, filled, scratch, tidy
 
-SEGMENT, FILTER_BITS = 1 << 20, 26
+SEGMENT, FILTER_SHARE, LEAST_BITS, MOST_BITS = 1 << 20, 16, 20, 30
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -116,7 +119,7 @@ def _grams(length: int, gram: int):
     return run
 
 
-def _blocks(length: int, gram: int, block: int, shared):
+def _blocks(length: int, gram: int, block: int, shared, bits: int):
     core = length - block + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +127,7 @@ def _blocks(length: int, gram: int, block: int, shared):
         for batch, off, x, a, ends in _located(batches, length):
             hashes = Hashes(x, 2)
             p, s0, s1 = anchors(x, ends, hashes, length, gram)
-            bit = (W.mix(hashes.of(p, p + gram)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            bit = (W.mix(hashes.of(p, p + gram)) >> np.uint64(64 - bits)).astype(np.int64)
             hit = np.flatnonzero((bitmap[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
             if not len(hit):
                 continue
@@ -151,66 +154,71 @@ def _blocks(length: int, gram: int, block: int, shared):
     return run
 
 
-def factor_runs(names: np.ndarray, equal: np.ndarray, rank: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of bytes, as suffixes have it, and how many bytes each, in that order, shares with the one before it (0 for the first)."""
+    n, wide = cells.shape
+    # UTF-8 has no byte 255, so all bytes can go up by one and none is the zero that ends a string early.
+    order = np.argsort(np.ascontiguousarray(cells + 1).view(f"S{wide}").ravel(), kind="stable")
+    put = cells[order]
+    lcp = np.zeros(n, np.int64)
+    differs = put[1:] != put[:-1]
+    lcp[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), wide)
+    return order, lcp
+
+
+def factor_runs(reaches: np.ndarray, rank: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For suffixes in suffix order: whether a factor of full length starts elsewhere, and whether none starts earlier.
 
-    equal: whether a suffix shares the full length with the one before it (their LCP). Inside a run of such neighbours the
+    reaches: whether a suffix shares the full length with the one before it (their LCP). Inside a run of such neighbours the
     suffix of the smallest position is the previous smaller position of every other one, so it alone has no previous factor.
     """
-    first = np.flatnonzero(~equal)
-    run = np.cumsum(~equal) - 1
+    first = np.flatnonzero(~reaches)
+    run = np.cumsum(~reaches) - 1
     total, least = np.add.reduceat(weight, first)[run], np.minimum.reduceat(rank, first)[run]
     return total > 1, rank == least
 
 
 def _ordered(block: int):
     """applyInPandas: contexts of whole cores; bits of the windows that are repeated, and of those that are the first."""
-    wide = block - 1
+    wide = max(block - 1, 1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        rank = np.empty(n, np.int64)
-        rank[pdf.sort_values(["m_id", "m_k1", "m_k2", "m_base"], na_position="first", kind="stable").index.to_numpy()] = np.arange(n)
+        pdf = pdf.sort_values(["core", *(c for c in ("m_id", "m_k1", "m_k2", "m_base") if c in pdf)], na_position="first", kind="stable").reset_index(drop=True)
         core, jlo, jhi, weight = (pdf[c].to_numpy() for c in ("core", "jlo", "jhi", "n"))
         raw = pdf["margins"].tolist()
         lens = np.array([len(r) for r in raw])
-        flat = np.frombuffer(b"".join(raw) + bytes(wide + 8), np.uint8)
-        at = np.cumsum(lens) - lens
-        masks, firsts = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        pad = -(-wide // 8) * 8
+        flat = np.frombuffer(b"".join(raw) + bytes(wide), np.uint8)
+        at, rank = np.cumsum(lens) - lens, np.arange(len(pdf))
+        # A core's number, as bytes, goes before what its windows have around it, so that one order holds all cores.
+        number = np.cumsum(np.concatenate(([0], core[1:] != core[:-1]))).astype(">u4").view(np.uint8).reshape(-1, 4)
+        number = np.column_stack((number >> 4, number & 15)).astype(np.uint8)
+        masks, firsts = np.zeros(len(pdf), np.uint64), np.zeros(len(pdf), np.uint64)
         for j in range(block):
             use = np.flatnonzero((jlo <= j) & (j <= jhi))
             if not len(use):
                 continue
-            cells = np.zeros((len(use), pad), np.uint8)
-            cells[:, :wide] = flat[(at[use] + jhi[use] - j)[:, None] + np.arange(wide)]
-            parts = cells.view("<u8")
-            name = W.chain(core[use].view(np.uint64), *parts.T)
-            order = np.argsort(name, kind="stable")
-            u, cells, name = use[order], parts[order], name[order]
-            equal = np.zeros(len(u), bool)
-            equal[1:] = (name[1:] == name[:-1]) & (core[u][1:] == core[u][:-1]) & (cells[1:] == cells[:-1]).all(axis=1)
-            repeated, earliest = factor_runs(name, equal, rank[u], weight[u])
+            cells = np.zeros((len(use), wide), np.uint8)
+            cells[:, : block - 1] = flat[(at[use] + jhi[use] - j)[:, None] + np.arange(block - 1)]
+            order, lcp = suffix_order(np.column_stack((number[use], cells)))
+            u = use[order]
+            repeated, earliest = factor_runs(lcp == wide + 8, rank[u], weight[u])
             bit = np.uint64(1 << j)
             masks[u[repeated]] |= bit
             firsts[u[repeated & earliest]] |= bit
         out = pdf[["core", "context"]].assign(mask=masks.view(np.int64), first=firsts.view(np.int64))
         return out[out["mask"] != 0]
 
-    def safe(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf.reset_index(drop=True))
-
-    return safe
+    return run
 
 
-def _one_by_one(contexts: DataFrame, block: int) -> DataFrame:
+def _one_by_one(contexts: DataFrame, block: int, place: list[str]) -> DataFrame:
     """The same as _ordered for cores too large to gather: a grouped sum over single windows."""
     one = contexts.withColumn("j", F.explode(F.sequence("jlo", "jhi"))).withColumn("w", F.substring("margins", F.col("jhi") - F.col("j") + 1, F.lit(block - 1)))
-    place = F.struct("m_id", "m_k1", "m_k2", "m_base")
-    runs = one.groupBy("core", "j", "w").agg(F.sum("n").alias("total"), F.min(place).alias("least")).where("total > 1")
+    here = F.struct(*place) if place else F.lit(0)
+    runs = scratch(one.groupBy("core", "j", "w").agg(F.sum("n").alias("total"), F.min(here).alias("least")).where("total > 1"))
     met = one.join(runs, ["core", "j", "w"])
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j"))
-    return met.groupBy("core", "context").agg(F.bit_or(bit).alias("mask"), F.bit_or(F.when(place.eqNullSafe(F.col("least")), bit).otherwise(F.lit(0).cast("long"))).alias("first"))
+    return met.groupBy("core", "context").agg(F.bit_or(bit).alias("mask"), F.bit_or(F.when(here.eqNullSafe(F.col("least")), bit).otherwise(F.lit(0).cast("long"))).alias("first"))
 
 
 def _cut(length: int, block: int):
@@ -251,34 +259,38 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep: str = "first", gram:
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"), "text")
     kind = dict(rows.dtypes)["doc_id"]
 
-    grams = rows.select("text").mapInArrow(_grams(length, gram), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).where("c > 1")
-    place = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
-    bits = grams.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("b")).toPandas()
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bitmap[bits["w"].to_numpy(np.int64)] = bits["b"].to_numpy(np.int64).view(np.uint64)
+    grams = scratch(rows.select("text").mapInArrow(_grams(length, gram), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).where("c > 1"))
+    bits = min(max((grams.count() * FILTER_SHARE).bit_length(), LEAST_BITS), MOST_BITS)
+    place = F.shiftrightunsigned("gram", 64 - bits)
+    words = grams.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("b")).toPandas()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(bitmap)
 
     schema = f"doc_id {kind}, k1 long, k2 long, base long, jlo int, jhi int, core long, context long, margins binary"
-    blocks = scratch(rows.mapInArrow(_blocks(length, gram, block, shared), schema))
+    blocks = scratch(rows.mapInArrow(_blocks(length, gram, block, shared, bits), schema))
+    discard(grams)
     tidy(spark)
-    contexts = blocks.groupBy("core", "context", "jlo", "jhi").agg(F.count("*").alias("n"))
-    cores = scratch(contexts.groupBy("core").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("n").alias("least")).where("total > 1"))
-    # To tell what is repeated, a core needs no suffix order if each of its contexts is met twice.
-    needs = cores.where("kinds > 1 and least = 1") if keep == "none" else cores
-    m = F.min(F.struct("doc_id", "k1", "k2", "base")).alias("m")
-    opened = blocks.join(needs.select("core", "kinds"), "core").groupBy("core", "kinds", "context", "jlo", "jhi", "margins").agg(F.count("*").alias("n"), m)
-    opened = scratch(opened.select("core", "kinds", "context", "jlo", "jhi", "margins", "n", F.col("m.doc_id").alias("m_id"), F.col("m.k1").alias("m_k1"), F.col("m.k2").alias("m_k2"), F.col("m.base").alias("m_base")))
+    cores = blocks.groupBy("core").agg(F.count("*").alias("total")).where("total > 1").select("core")
+    # Another name for the core, so that equal contexts are summed up before they are dealt out anew: a core may be met very often.
+    one = blocks.join(cores, "core").withColumn("name", F.bitwise_not("core")).drop("core")
+    earlier = ["m_id", "m_k1", "m_k2", "m_base"] if keep == "first" else []
+    m = [F.min(F.struct("doc_id", "k1", "k2", "base")).alias("m")] if earlier else []
+    opened = one.groupBy("name", "context", "jlo", "jhi", "margins").agg(F.count("*").alias("n"), *m)
+    opened = scratch(opened.select(F.bitwise_not("name").alias("core"), "context", "jlo", "jhi", "margins", "n", *(F.col(f"m.{c}").alias(x) for c, x in zip(("doc_id", "k1", "k2", "base"), earlier))))
     tidy(spark)
+    large = opened.groupBy("core").agg(F.count("*").alias("kinds")).where(F.col("kinds") > most).select("core")
+    large = scratch(large)
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), opened.count() // 50_000 + 1)
-    small = opened.where(F.col("kinds") <= most).withColumn("bin", F.pmod(F.xxhash64("core"), F.lit(bins)))
-    masks = small.groupBy("bin").applyInPandas(_ordered(block), "core long, context long, mask long, first long").unionByName(_one_by_one(opened.where(F.col("kinds") > most), block))
+    small, more = opened, None
+    if not large.isEmpty():
+        small, more = opened.join(large, "core", "left_anti"), _one_by_one(opened.join(large, "core", "left_semi"), block, earlier)
+    masks = small.withColumn("bin", F.pmod(F.xxhash64("core"), F.lit(bins))).groupBy("bin").applyInPandas(_ordered(block), "core long, context long, mask long, first long")
+    masks = masks if more is None else masks.unionByName(more)
 
-    places = blocks.select("k1", "k2", "base", "jlo", "jhi", "core", "context")
+    places = blocks.select("k1", "k2", "base", "core", "context")
     if keep == "none":
-        ones = F.lit(-1).cast("long")
-        every = F.call_function("shiftleft", ones, F.col("jlo")).bitwiseAND(F.call_function("shiftrightunsigned", ones, 63 - F.col("jhi"))).alias("mask")
-        twice = blocks.groupBy("core", "context", "jlo", "jhi").agg(F.count("*").alias("n")).where("n > 1").select("core", "context", every)
-        flags = scratch(twice.unionByName(masks.select("core", "context", "mask")).groupBy("core", "context").agg(F.bit_or("mask").alias("mask")))
+        flags = scratch(masks.select("core", "context", "mask"))
         found = places.join(flags, ["core", "context"]).select("k1", "k2", "base", "mask")
     else:
         least = opened.select("core", "context", F.col("m_k1").alias("f1"), F.col("m_k2").alias("f2"), F.col("m_base").alias("fb"))
@@ -287,6 +299,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep: str = "first", gram:
         found = places.join(flags, ["core", "context"]).select("k1", "k2", "base", F.when(here, F.col("mask").bitwiseAND(F.bitwise_not("first"))).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
     found = found.groupBy("k1", "k2", "base").agg(F.bit_or("mask").alias("mask")).groupBy("k1", "k2").agg(F.collect_list(F.struct("base", "mask")).alias("found"))
     found = scratch(found)
+    discard(blocks, opened, large, flags)
     tidy(spark)
     out = rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "found")
     return out.mapInArrow(_cut(length, block), f"doc_id {kind}, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
