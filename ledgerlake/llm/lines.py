@@ -12,7 +12,8 @@ A line with a word stands for at least one word, so windows have at most min_wor
 log2(min_words) rounds. Blank lines count as no line; those between deleted lines of one window go too.
 
 Defined cases: null texts stay null with no lines deleted (n_lines 1, the empty line); equal rows are one place, and
-stay alike; null ids come first; of equal runs in one text the first stays; empty tables give empty results.
+stay alike; null ids come first; of equal runs in one text the first stays; input columns called n_lines or n_removed
+give way to the operator's, any others stay as they are; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, filled, scratch
+from .common import WORD, discard, filled, scratch
 
 
 def _doubled(x: str, step: int, join) -> Column:
@@ -81,18 +82,25 @@ def later_copies(found: DataFrame) -> DataFrame:
     return found.join(firsts, ["a", "b"]).where(place > F.col("first")).select("k1", "k2", "s", "e").distinct()
 
 
+def delete_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, text, n_lines, n_removed): each document as it was, and its text with later copies of line runs deleted."""
+    carried = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("old"), filled(F.col(text_col)).alias("text"))
+    keyed = carried.select("row", "id", "old", "text", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", "id").alias("k2"))
+    found = scratch(windows(keyed.select("id", "k1", "k2", "text"), min_words))
+    gone = scratch(later_copies(found).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("gone")))
+    discard(found)
+    hit = F.col("gone").isNotNull()
+    lines = F.split("text", "\n")
+    out = keyed.join(gone, ["k1", "k2"], "left").withColumn("lines", F.when(hit, lines)).withColumn("n_lines", F.size(lines).cast("long"))
+    dead = F.flatten(F.transform("gone", lambda d: F.sequence(d["s"], d["e"])))
+    out = out.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), dead))
+    left = F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n")
+    removed = F.when(hit, F.col("n_lines") - F.size("stay")).otherwise(F.lit(0)).cast("long")
+    return out.select("row", F.when(hit, left).otherwise(F.col("old")).alias("text"), "n_lines", removed.alias("n_removed"))
+
+
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their own columns, later copies of line runs deleted from the text, and n_lines, n_removed."""
-    text = filled(F.col(text_col))
-    keyed = docs.withColumns({"_k1": F.xxhash64(F.col(id_col), text), "_k2": F.xxhash64(text, F.col(id_col))})
-    rows = keyed.select(F.col(id_col).alias("id"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), text.alias("text"))
-    found = scratch(windows(rows, min_words))
-    gone = scratch(later_copies(found).groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list(F.struct("s", "e")).alias("_gone")))
-    out = keyed.join(gone, ["_k1", "_k2"], "left")
-    lines = F.split(text, "\n")
-    out = out.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines)).withColumn("n_lines", F.size(lines).cast("long"))
-    dead = F.flatten(F.transform("_gone", lambda d: F.sequence(d["s"], d["e"])))
-    out = out.withColumn("_stay", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), dead))
-    out = out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n")))
-    removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_stay")).cast("long")
-    return out.withColumn("n_removed", removed).select(*docs.columns, "n_lines", "n_removed")
+    """The documents with their own columns, later copies of line runs deleted from the text, and n_lines, n_removed (instead of columns of these names)."""
+    out = delete_runs(docs, min_words, id_col, text_col)
+    own = [(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*own, "n_lines", "n_removed")

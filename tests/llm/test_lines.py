@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from ledgerlake.llm.lines import dedup_lines
+from ledgerlake.llm.lines import dedup_lines, delete_runs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,3 +57,14 @@ def test_nothing_and_long(spark):
     rows = [(1, "a\n" + run), (2, run + "\nz"), (2, "same " * 60), (2, "same " * 60), (3, "\n".join(str(i) for i in range(30_000)))]
     got = sorted((r["doc_id"], r["n_removed"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, 0), (2, 0), (2, 0), (2, 60), (3, 0)]
+
+
+def test_clashing_columns(spark):
+    run = "\n".join(f"w{i}" for i in range(60))
+    names = ["id", "row", "k1", "k2", "_k1", "_lines", "lines", "gone", "stay", "old", "s", "n_lines", "n_removed"]
+    df = spark.createDataFrame([(i, run + f"\nown {i}", *[f"{n}{i}" for n in names]) for i in range(2)], ["doc_id", "text", *names])
+    out = dedup_lines(df)
+    assert out.columns == [*df.columns[:-2], "n_lines", "n_removed"]
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [(i, ["", "own 1"][i] or run + "\nown 0", *[f"{n}{i}" for n in names[:-2]], 61, 60 * i) for i in range(2)]
+    assert delete_runs(df).select("row.*").columns == df.columns
