@@ -20,6 +20,12 @@ def compare(value: Column, operator: Column, low: Column, high: Column | None =
     return F.when(finite(value), out)
 
 
+def compare_declared(value: Column, operator: Column, low: Column, high: Column | None = None) -> Column:
+    """The comparison as text: true or false, ERROR for an operator that isn't known; null for values that are not finite."""
+    known = operator.isin("lt", "lte", "eq", "gte", "gt", "between")
+    return F.when(F.coalesce(known, F.lit(False)), compare(value, operator, low, high).cast("string")).otherwise("ERROR")
+
+
 def close(a: Column, b: Column, scale: Column | float = 1.0) -> Column:
     s = F.lit(float(scale)) if isinstance(scale, (int, float)) else scale
     return F.abs(a - b) <= 1e-10 * F.greatest(s, F.abs(a), F.abs(b), F.lit(1.0))

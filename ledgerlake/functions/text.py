@@ -110,3 +110,58 @@ def any_glob(path: Column, globs: list[str], fold: bool = False) -> Column:
     for h in hits:
         out = out | h
     return out
+
+
+# Names of files in prose.
+FILE_NAME_TOKEN = (
+    r"(?i)(?<![\w])([\w\-+.()一-鿿]{3,}\.(?:mph|cas(?:\.h5)?|dat(?:\.h5)?|msh(?:\.h5)?|docx|pptx|pdf|"
+    r"json|ya?ml|csv|xlsx|py|m|java|md|txt|zip|scdocx?|step|stp))(?![\w])"
+)
+
+
+def file_names_in(line_table: DataFrame, key: str) -> DataFrame:
+    """(key, line_no, name): file names in running text, each once a line."""
+    return line_table.select(key, "line_no", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(FILE_NAME_TOKEN), F.lit(1)))).alias("name"))
+
+
+def human_size(value: Column) -> Column:
+    """A size with one decimal in the largest of B to TiB that leaves at least 1."""
+    v = value.cast("double")
+    # Ties go to the even digit. A size over a power of two, times ten, is exact, so they can be seen.
+    at = lambda n, unit: F.concat(F.format_string("%.1f", F.rint(v / float(1024**n) * 10) / 10), F.lit(f" {unit}"))
+    out = F.when(v < 1024, at(0, "B"))
+    for n, unit in enumerate(("KiB", "MiB", "GiB"), 1):
+        out = out.when(v < float(1024 ** (n + 1)), at(n, unit))
+    return out.otherwise(at(4, "TiB"))
+
+
+def html_escaped(value: Column) -> Column:
+    """Text for HTML; null is empty."""
+    out = F.coalesce(value, F.lit(""))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def markdown_escaped(value: Column) -> Column:
+    """Text for a cell of a Markdown table; null is empty."""
+    return F.replace(F.regexp_replace(F.coalesce(value, F.lit("")), r"\r\n|\r|\n", " "), F.lit("|"), F.lit("\\|"))
+
+
+def iso_time(value: Column) -> Column:
+    """An ISO 8601 time as a timestamp: Z and offsets count, none is UTC (the session's zone); null where it is none."""
+    fine = F.when(F.rlike(value, F.lit(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$")), value)
+    return F.try_to_timestamp(fine)
+
+
+def iso_text(value: Column) -> Column:
+    """A timestamp as ISO 8601 in UTC, whole seconds."""
+    return F.date_format(F.to_utc_timestamp(value, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def dotted(json: Column, path: str) -> Column:
+    """Struct (found, value) of a dotted path in JSON text: a null that is there is found, a step into what is no object finds nothing."""
+    head, _, last = path.rpartition(".")
+    parent = F.get_json_object(json, f"$.{head}" if head else "$")
+    found = F.coalesce(F.array_contains(F.json_object_keys(parent), last), F.lit(False))
+    return F.struct(found.alias("found"), F.get_json_object(json, f"$.{path}").alias("value"))

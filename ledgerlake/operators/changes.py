@@ -76,35 +76,61 @@ def collapse_volatile(changes: DataFrame) -> DataFrame:
     return changes.where("volatile_class is not null").groupBy("volatile_class").agg(F.count("*").alias("aggregate_count"), F.sum(delta).cast("long").alias("size_delta"))
 
 
+#: Keys that tell an identity, with the confidence that each gives.
+IDENTITY_KEYS = [("native_id", 0.995, "native_file_metadata"), ("sha256", 1.0, "full_sha256"), ("sample", 0.96, "staged_fingerprint")]
+
+
+class _Side:
+    """Rows of one side in order, found by any of their keys; rows can be taken."""
+
+    def __init__(self, rows: list[dict]):
+        self.by: dict[str, dict[str, list[dict]]] = {k: {} for k, _, _ in IDENTITY_KEYS}
+        self.taken: set[str] = set()
+        for r in rows:
+            for k, held in self.by.items():
+                if r[k]:
+                    held.setdefault(r[k], []).append(r)
+
+    def best(self, t: dict, native: bool) -> tuple[float, dict, str] | None:
+        """The surest free match of t; a row counts by the first of its keys that agrees, and of equals the first one."""
+        found: list[tuple[float, dict, str]] = []
+        agreed: list[str] = []
+        for key, confidence, how in IDENTITY_KEYS:
+            for r in self.by[key].get(t[key], ()) if t[key] else ():
+                if r["path_key"] not in self.taken and r["path_key"] != t["path_key"] and not any(t[k] and r[k] == t[k] for k in agreed):
+                    if native or key != "native_id":
+                        found.append((confidence, r, how))
+                    break
+            agreed.append(key)
+        return max(found, key=lambda f: f[0]) if found else None
+
+    def take(self, r: dict) -> None:
+        self.taken.add(r["path_key"])
+        for k, held in self.by.items():
+            if r[k]:
+                held[r[k]].remove(r)
+
+
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     """Arrivals in order take the best missing row of their size, else are copies, else may be weak candidates."""
     pdf = pdf.sort_values(["rank", "path_key"], kind="stable")
     miss, here, come = (pdf[pdf["side"] == s].to_dict("records") for s in ("missing", "present", "arrival"))
-    used: set[str] = set()
-    out = []
-
-    def method(s: dict, t: dict) -> tuple[float, str | None]:
-        for field, conf, name in (("native_id", 0.995, "native_file_metadata"), ("sha256", 1.0, "full_sha256"), ("sample", 0.96, "staged_fingerprint")):
-            if s[field] and s[field] == t[field]:
-                return conf, name
-        return 0.0, None
-
-    def best(rows: list[dict], t: dict, native: bool) -> tuple[float, dict, str] | None:
-        ranked = [(c, s, m) for s in rows for c, m in [method(s, t)] if m and (native or m != "native_file_metadata")]
-        return max(ranked, key=lambda r: r[0]) if ranked else None
-
+    gone, kept = _Side(miss), _Side(here)
+    free, out = len(miss) + int(pdf["others"].iloc[0]), []
     folder = lambda p: p.rpartition("/")[0]
     name = lambda p: (lambda n: n.rpartition(".")[0] or n)(p.rpartition("/")[2]).casefold()
     for t in come:
-        free = [s for s in miss if s["path_key"] not in used]
-        if found := best(free, t, True):
+        if found := gone.best(t, True):
             conf, s, how = found
-            used.add(s["path_key"])
+            gone.take(s)
+            free -= 1
             out.append(("RENAMED" if folder(s["path_key"]) == folder(t["path_key"]) else "MOVED", s["path_key"], t["path_key"], conf, how))
-        elif found := best([s for s in here if s["path_key"] != t["path_key"]], t, False):
+        elif found := kept.best(t, False):
             out.append(("COPIED", found[1]["path_key"], t["path_key"], found[0], found[2]))
-        elif len(free) == 1 and (ratio := SequenceMatcher(None, name(free[0]["path_key"]), name(t["path_key"])).ratio()) >= 0.72:
-            out.append(("POSSIBLE_MOVE", free[0]["path_key"], t["path_key"], round(0.45 + 0.2 * ratio, 3), "weak_candidate"))
+        elif free == 1:
+            last = next(s for s in miss if s["path_key"] not in gone.taken)
+            if (ratio := SequenceMatcher(None, name(last["path_key"]), name(t["path_key"])).ratio()) >= 0.72:
+                out.append(("POSSIBLE_MOVE", last["path_key"], t["path_key"], round(0.45 + 0.2 * ratio, 3), "weak_candidate"))
     return pd.DataFrame(out, columns=["event_type", "source_path_key", "target_path_key", "confidence", "method"])
 
 
@@ -112,11 +138,23 @@ def correlate_identities(rows: DataFrame) -> DataFrame:
     """Moves, renames, copies and weak candidates, greedy and one to one.
 
     rows: (side missing | present | arrival, path_key, size, native_id, sha256, sample, rank): rank is the order of arrival.
-    Every match needs equal sizes, so groups of a size are independent, and exact.
+    Every match needs equal sizes, so groups of a size are independent, and exact. Only rows that can matter are grouped: of what is present, and of
+    sizes with two missing rows or more that share no key with an arrival (no weak candidate can come of those), the rows that share a key with an arrival or a
+    missing row. What is left of a group are files of one size that share keys, above all copies of one content.
     """
     cols = ["side", "path_key", "size", "native_id", "sha256", "sample", "rank"]
+    rows = rows.select(*cols)
+    keyed = rows.select("side", "path_key", "size", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k, _, _ in IDENTITY_KEYS])).alias("k")).where("k.value <> ''").select("side", "path_key", "size", "k.*")
+    wanted = keyed.where("side = 'arrival'").select("size", "key", "value").distinct()
+    offered = keyed.where("side <> 'arrival'").select("size", "key", "value").distinct()
+    shares = keyed.where("side <> 'arrival'").join(wanted, ["size", "key", "value"], "left_semi").unionByName(keyed.where("side = 'arrival'").join(offered, ["size", "key", "value"], "left_semi")).select("side", "path_key", "size").distinct()
+    tied = rows.join(shares, ["side", "path_key", "size"], "left_semi")
+    loose = rows.where("side <> 'present'").join(shares, ["side", "path_key", "size"], "left_anti")
+    lost = loose.groupBy("size").agg(F.count_if(F.col("side") == "missing").alias("lost"))
     sizes = rows.where("side = 'arrival'").select("size").distinct()
-    return rows.select(*cols).join(sizes, "size", "left_semi").groupBy("size").applyInPandas(_greedy, "event_type string, source_path_key string, target_path_key string, confidence double, method string")
+    held = tied.unionByName(loose.join(lost.where("lost < 2"), "size", "left_semi")).join(sizes, "size", "left_semi")
+    held = held.join(lost.where("lost >= 2"), "size", "left").withColumn("others", F.coalesce("lost", F.lit(0)))
+    return held.groupBy("size").applyInPandas(_greedy, "event_type string, source_path_key string, target_path_key string, confidence double, method string")
 
 
 def exact_moves(missing: DataFrame, arrivals: DataFrame) -> DataFrame:
@@ -128,10 +166,13 @@ def exact_moves(missing: DataFrame, arrivals: DataFrame) -> DataFrame:
 
 
 def copy_candidates(arrivals: DataFrame, present: DataFrame) -> DataFrame:
-    """For each arrival the first present row (by path) of the same content."""
-    src = present.groupBy("size", "sha256").agg(F.array_sort(F.slice(F.array_sort(F.collect_set("path_key")), 1, 2)).alias("s"))
-    j = arrivals.join(src, ["size", "sha256"])
-    other = F.get(F.filter("s", lambda p: p != F.col("path_key")), F.lit(0))
+    """For each arrival the first present row (by path) of the same content, other than itself: the first path of each content, or the second where that is the arrival's own."""
+    key = ["size", "sha256"]
+    asked = present.join(arrivals.select(*key).distinct(), key, "left_semi")
+    first = asked.groupBy(*key).agg(F.min("path_key").alias("_a"))
+    second = asked.join(first, key).where(F.col("path_key") != F.col("_a")).groupBy(*key).agg(F.min("path_key").alias("_b"))
+    j = arrivals.join(first, key).join(second, key, "left")
+    other = F.when(F.col("_a") == F.col("path_key"), F.col("_b")).otherwise(F.col("_a"))
     return j.select(F.col("path_key").alias("target_path_key"), other.alias("source_path_key")).where("source_path_key is not null")
 
 

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def _durable(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder that the session names; one of our own only where it names none."""
+    """Cut lineage in the shared folder that the session names. Only a local master may go without: it then gets a temporary folder of our own."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerlake-"))
+        base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not base and master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="ledgerlake-"))
     return df.checkpoint()
 
 
@@ -62,6 +65,29 @@ def all_connected(nodes: DataFrame, edges: DataFrame, directed: bool) -> DataFra
     return nodes.sparkSession.createDataFrame([(total, all(r == total for r in reached))], "nodes long, connected boolean")
 
 
+def unreachable(nodes: DataFrame, edges: DataFrame, limit: int = 1000) -> DataFrame:
+    """One row: the nodes, in order, that some node doesn't reach along the edges.
+
+    Nodes that all others reach make up one strongly connected part, from which nothing leads out. From any node, steps to one that
+    doesn't lead back end in such a part; either all nodes lead there, or no node is reached by all.
+    """
+    spark = nodes.sparkSession
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    at = nodes.agg(F.min("node").alias("start"))
+    for _ in range(limit):
+        fore = reachable(edges, at).select("node")
+        hind = _durable(reachable(back, at).select("node"))
+        out = fore.join(hind, "node", "left_anti").agg(F.min("node").alias("start")).first()[0]
+        if out is None:
+            break
+        at = spark.createDataFrame([(out,)], at.schema)
+    else:
+        raise RuntimeError(f"no last part was found in {limit} steps")
+    every = nodes.select("node").distinct()
+    lost = every.join(fore, "node", "left_anti") if every.join(hind, "node", "left_anti").isEmpty() else every
+    return lost.agg(F.array_sort(F.collect_list("node")).alias("unreachable_nodes"))
+
+
 def pairs_connected(edges: DataFrame, pairs: DataFrame, directed: bool = True) -> DataFrame:
     """(src, dst, connected) for each required pair."""
     found = reachable(edges, pairs.select(F.col("src").alias("start")).distinct(), directed).select(F.col("start").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("_hit"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.checks import close, codes_of
+from ledgerlake.functions.checks import close, codes_of, compare
 
 
 @dataclass(frozen=True)
@@ -71,6 +71,36 @@ def normalize(field: DataFrame, permutation: tuple[int, int], scale: tuple[float
     return field.withColumns({n: F.lit(float(scale[k])) * old[permutation[k]] + F.lit(float(offset[k])) for k, n in enumerate(("x", "y"))})
 
 
+def normalize_status(field: DataFrame, permutation: tuple[int, int], scale: tuple[float, float], offset: tuple[float, float], output: Grid) -> DataFrame:
+    """One row: whether all that the transform makes of (x, y) lies on the centres of the grid that it declares, on one row each."""
+    if sorted(permutation) != [0, 1] or not all(scale):
+        raise ValueError("the permutation is (0, 1) or (1, 0), and no scale is zero")
+    t = normalize(field, permutation, scale, offset)
+    t = t.select(cell_index(F.col("x"), output, 0).alias("i"), cell_index(F.col("y"), output, 1).alias("j"))
+    n = t.agg(F.count_if(F.col("i").isNull() | F.col("j").isNull()).alias("off"))
+    bad = F.col("off") > 0
+    return n.select(F.when(bad, "FAIL").otherwise("PASS").alias("status"), codes_of((bad, "COORDINATE_TRANSFORM_MISMATCH")).alias("reason_codes"))
+
+
+def shares_domain(a: Grid, b: Grid) -> bool:
+    """Whether two grids cover the same rectangle, but for rounding."""
+    near = lambda x, y, s: abs(x - y) <= 1e-10 * max(s, abs(x), abs(y), 1.0)
+    return all(near(p[k], q[k], max(a.spacing[k], b.spacing[k])) for p, q in ((a.minimum, b.minimum), (a.maximum, b.maximum)) for k in (0, 1))
+
+
+def regrid_status(field: DataFrame, source: Grid, target: Grid, operator: str, low: float, high: float | None = None) -> DataFrame:
+    """One row: coverage, status and codes of a re-gridding of (i, j, value): a whole source grid, one domain, a coverage that meets its criterion."""
+    cells = source.shape[0] * source.shape[1]
+    n = field.agg(F.count("*").alias("_n"), F.countDistinct("i", "j").alias("_d")).withColumn("_k", F.lit(1))
+    area = target.shape[0] * target.shape[1]
+    c = regrid(field, source, target).agg((F.coalesce(F.sum("coverage"), F.lit(0.0)) / F.lit(float(area))).alias("coverage")).withColumn("_k", F.lit(1))
+    t = n.join(F.broadcast(c), "_k")  # one row each
+    whole, share = (F.col("_n") == cells) & (F.col("_d") == cells), F.lit(shares_domain(source, target))
+    met = F.coalesce(compare(F.col("coverage"), F.lit(operator), F.lit(low), F.lit(high).cast("double")), F.lit(False))
+    codes = codes_of((~whole, "GRID_SHAPE_MISMATCH"), (~whole, "COORDINATE_LOOKUP_FAILED"), (~share, "TARGET_DOMAIN_MISMATCH"), (whole & share & ~met, "COVERAGE_CRITERION_NOT_MET"))
+    return t.select(F.when(whole & share, F.col("coverage")).otherwise(0.0).alias("coverage"), F.when(F.size(codes) == 0, "PASS").otherwise("FAIL").alias("status"), codes.alias("reason_codes"))
+
+
 def _overlaps(spark: SparkSession, source: Grid, target: Grid, axis: int) -> DataFrame:
     """(t, s, w): lengths that target and source cells share on one axis, by index arithmetic."""
     t0, td = F.lit(target.minimum[axis]) + F.col("t") * F.lit(target.spacing[axis]), F.lit(target.spacing[axis])

@@ -28,6 +28,32 @@ def timeline(events: DataFrame, limit: int = 500) -> DataFrame:
     return events.orderBy(F.desc("occurred_at"), F.desc("importance_score"), F.desc("event_id")).limit(max(1, min(limit, MOST_ROWS)))
 
 
+def newest(events: DataFrame, limit: int) -> DataFrame:
+    """The newest events with their rank; between 1 and MOST_ROWS of them."""
+    order = [F.desc("occurred_at"), F.desc("event_id")]
+    return numbered(events.orderBy(*order).limit(max(1, min(limit, MOST_ROWS))), order)
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Ranks of rows that a limit has already bounded."""
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def days_before(at: Column, days: int) -> Column:
+    return at - F.make_dt_interval(F.lit(max(0, days)))
+
+
+def public_events(events: DataFrame) -> DataFrame:
+    """Events under their public names; columns that the log lacks are null, numbers default to 0, and a count to 1."""
+    has = lambda c, t: (F.col(c) if c in events.columns else F.lit(None)).cast(t)
+    text = {"event_id": "event_id", "event_type": "event_type", "project_id": "project_id", "workstream_id": "workstream_id", "file_id": "file_id", "path_before": "path_before", "path_after": "path_after", "importance": "semantic_importance", "resolution_status": "resolution_status"}
+    kinds = dict(events.dtypes)
+    return events.select(
+        *[has(c, kinds.get(c, "string")).alias(n) for n, c in text.items()], F.col("occurred_at").alias("timestamp"), F.coalesce(has("size_delta", "long"), F.lit(0)).alias("size_delta"),
+        *[F.coalesce(has(c, "double"), F.lit(0.0)).alias(c) for c in ("importance_score", "confidence")], F.coalesce(has("aggregate_count", "long"), F.lit(1)).alias("aggregate_count"),
+    )
+
+
 def storage_delta() -> Column:
     return F.sum(F.when(F.col("event_type").isin(STORAGE_EVENT_TYPES), F.col("size_delta")).otherwise(0)).cast("long")
 

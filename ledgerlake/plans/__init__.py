@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each with its SQL counterpart where SQL can say it."""
 
-from . import catalog, evidence, surface, texts, timelines
+from . import catalog, evidence, handoffs, projects, surface, texts, timelines
 from .registry import QUERIES, SQL
 
 

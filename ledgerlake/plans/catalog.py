@@ -139,7 +139,7 @@ def assertion_override(spark, sf):
     return changes.apply_assertions(inferred, said, "doc_id", "role")
 
 
-@query("""SELECT sha256(text) AS sha256, count(*) AS n, list_sort(list(doc_id)) AS paths FROM documents GROUP BY 1 HAVING count(*) > 1""")
+@query("""SELECT sha256(text) AS sha256, doc_id, count(*) OVER (PARTITION BY sha256(text)) AS n, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents QUALIFY n > 1""")
 def duplicate_candidates(spark, sf):
     return matching.duplicates(files(spark, sf), ["sha256"], "doc_id")
 

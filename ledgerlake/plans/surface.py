@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerlake.functions.text import dotted
+
 from .registry import query, table
 
 
@@ -14,6 +16,14 @@ def json_path_get(spark, sf):
     return e.where("k is not null")
 
 
+@query("""SELECT event_id, json_exists(p, '$.a.k') AS found, json_extract_string(p, '$.a.k') AS value FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"a": {"k": null}}' WHEN 1 THEN '{"a": {"j": 1}}' WHEN 2 THEN concat('{"a": ', props, '}') ELSE '{"a": 7}' END AS p FROM events)""")
+def json_path_found(spark, sf):
+    """A dotted path that isn't there told from one that leads to null."""
+    k = F.col("event_id") % 4
+    p = F.when(k == 0, '{"a": {"k": null}}').when(k == 1, '{"a": {"j": 1}}').when(k == 2, F.concat(F.lit('{"a": '), "props", F.lit("}"))).otherwise('{"a": 7}')
+    return table(spark, sf, "events").select("event_id", dotted(p, "a.k").alias("d")).select("event_id", "d.found", "d.value")
+
+
 @query("""SELECT event_type, user_id % 5 AS part, count(*) AS n FROM events GROUP BY CUBE (event_type, user_id % 5)""")
 def cube_by_status(spark, sf):
     return table(spark, sf, "events").withColumn("part", F.col("user_id") % 5).cube("event_type", "part").agg(F.count("*").alias("n"))
@@ -43,7 +53,7 @@ def hourly_windows(spark, sf):
     return e.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query()
+@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS "end", event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL""")
 def stream_windowed_counts(spark, sf):
     """The event table as a finite stream: windowed counts with a watermark, as they stand at its end."""
     import uuid
@@ -54,4 +64,5 @@ def stream_windowed_counts(spark, sf):
     stream = events.windowed_counts(events.read_events(spark, f"{sf}/events.parquet"), size="1 day")
     q = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    out = spark.table(name)
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", F.round("value", 4).alias("value"))

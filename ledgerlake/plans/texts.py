@@ -67,6 +67,26 @@ def targets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return t, p.select(F.regexp_replace("url", "[?#].*$", "").alias("path")).union(p.select(F.concat(site, F.lit("/The")))).distinct()
 
 
+PLACE_SQL = """
+WITH d AS (SELECT source, doc_id, concat(source, '/', lang, '/doc', doc_id, '.txt') AS src, doc_id % 6 AS k, lang FROM documents),
+r AS (SELECT src, CASE k WHEN 0 THEN concat('doc', doc_id + 20, '.txt') WHEN 1 THEN concat('../', lang, '/doc', doc_id, '.txt') WHEN 2 THEN concat(source, '/', lang) WHEN 3 THEN 'x.exe' WHEN 4 THEN 'C:\\d\\m.mph' ELSE 'a/b.md#top' END AS target,
+ CASE k WHEN 0 THEN concat(source, '/', lang, '/doc', doc_id + 20, '.txt') WHEN 1 THEN src WHEN 2 THEN concat(source, '/', lang) WHEN 4 THEN 'C:/d/m.mph' WHEN 5 THEN concat(source, '/', lang, '/a/b.md#top') END AS resolved, k, source, lang, doc_id FROM d)
+SELECT src AS source, target, resolved, CASE k WHEN 1 THEN 'resolved_existing' WHEN 2 THEN 'resolved_existing' WHEN 3 THEN 'not_file_like' WHEN 0 THEN CASE WHEN resolved IN (SELECT src FROM d) THEN 'resolved_existing' ELSE 'resolved_missing' END ELSE 'resolved_missing' END AS resolution_status FROM r
+"""
+
+
+@query(PLACE_SQL)
+def placed_references(spark, sf):
+    k, n = F.col("doc_id") % 6, F.col("doc_id")
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang", F.concat("source", F.lit("/"), "lang", F.lit("/doc"), n.cast("string"), F.lit(".txt")).alias("src"))
+    target = (
+        F.when(k == 0, F.concat(F.lit("doc"), (n + 20).cast("string"), F.lit(".txt"))).when(k == 1, F.concat(F.lit("../"), "lang", F.lit("/doc"), n.cast("string"), F.lit(".txt")))
+        .when(k == 2, F.concat("source", F.lit("/"), "lang")).when(k == 3, "x.exe").when(k == 4, "C:\\d\\m.mph").otherwise("a/b.md#top")
+    )
+    refs = d.select(F.col("src").alias("source"), target.alias("target"))
+    return matching.place_references(refs, d.select("src"), "target", "source", "src")
+
+
 @query(LINK_SQL + "SELECT page_id, target, CASE WHEN k.target IS NULL THEN 'resolved_missing' ELSE 'resolved_existing' END AS resolution_status FROM t LEFT JOIN k USING (target)")
 def reference_resolution(spark, sf):
     t, k = targets(spark, sf)
@@ -84,22 +104,18 @@ def reference_in_degree(spark, sf):
     return matching.in_degree(targets(spark, sf)[0], "target")
 
 
-# The benchmark's first eight words stand for a denied phrase: phrases of a length meet texts by equality of word runs.
-@query(r"""WITH b AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS phrase FROM benchmark WHERE len(string_split(text, ' ')) >= 8)
-SELECT doc_id, item_id FROM documents JOIN b ON contains(concat(' ', text, ' '), concat(' ', phrase, ' '))""")
+@query("""SELECT doc_id, item_id FROM documents JOIN benchmark b ON contains(concat(' ', documents.text, ' '), concat(' ', b.text, ' '))""")
 def denylist_hits(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("w")).where(F.size("w") >= 8).select("item_id", F.array_join(F.slice("w", 1, 8), " ").alias("phrase"))
-    w = table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("w")).where(F.size("w") >= 8)
-    runs = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, F.lit(8)), " ")))).alias("phrase"))
-    return runs.join(b, "phrase").select("doc_id", "item_id").distinct()
+    """Whole benchmark items stand for denied phrases."""
+    return matching.contained_phrases(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id").select("doc_id", "item_id")
 
 
-@query(r"""SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 40) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations""")
+@query("""SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations""")
 def section_state(spark, sf):
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.last(F.when(F.col("role") == "user", F.substring("text", 1, 40)), ignorenulls=True).over(w).alias("section"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w).alias("section"))
 
 
 @query()
@@ -109,7 +125,7 @@ def authority_declarations(spark, sf):
     return text.authority_declarations(text.lines(c, "conv_id", "text"), "conv_id")
 
 
-@query()
+@query("SELECT doc_id, 1 AS line_no, concat('a/old', source, '.csv') AS predecessor, concat('b/new', lang, '.csv') AS successor FROM documents")
 def supersession_edges(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("`a/old"), F.col("source"), F.lit(".csv` is superseded by `b/new"), F.col("lang"), F.lit(".csv`\n"), F.col("text")).alias("text"))
     return text.supersessions(text.lines(d, "doc_id", "text"), "doc_id")
@@ -190,14 +206,23 @@ def entrypoint_candidates(spark, sf):
     return e.join(known, "path", "left").select("page_id", (F.coalesce("_k", F.lit(False)) & (F.col("entry_kind") == "file")).alias("entrypoint"))
 
 
-@query()
+@query("""WITH l AS (SELECT concat(source, '/doc', doc_id, '.md') AS path, concat(source, '/doc', doc_id + 20, '.md') AS missing FROM documents UNION ALL SELECT concat(source, '/doc', doc_id, '.md'), concat(source, '/none.md') FROM documents)
+SELECT path, missing FROM l WHERE missing NOT IN (SELECT concat(source, '/doc', doc_id, '.md') FROM documents)""")
 def broken_markdown_links(spark, sf):
-    """Links resolved against their document's folder; SQL has no path arithmetic."""
+    """Links resolved against their document's folder; the SQL has the resolved paths of these made-up links."""
     d = table(spark, sf, "documents").select(F.concat("source", F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("[a](doc"), (F.col("doc_id") + 20).cast("string"), F.lit(".md) [b](../"), F.col("source"), F.lit("/none.md) [c](../../out.md) [d]( )")).alias("text"))
     return audit.broken_links(d, d.select("path"), "path", "text")
 
 
-@query()
+@query(LINES_SQL + r"""
+, k AS (SELECT unnest(['license', 'the', 'idiot']) AS tool), m AS (SELECT k.tool, CASE WHEN regexp_matches(line, '(?i)reference|supporting') THEN 'reference' WHEN regexp_matches(line, '(?i)primary|main') THEN 'primary' ELSE 'supporting' END AS kind, len(regexp_extract_all(lower(line), concat('\b', k.tool, '\b'))) AS n FROM li, k),
+w AS (SELECT tool, coalesce(sum(n) FILTER (kind = 'primary'), 0) AS p, coalesce(sum(n) FILTER (kind = 'supporting'), 0) AS s, coalesce(sum(n) FILTER (kind = 'reference'), 0) AS r FROM m WHERE n > 0 GROUP BY 1),
+nat AS (SELECT CASE WHEN regexp_matches(text, '(?i)license') THEN 'license' ELSE 'the' END AS tool, n_chars * 100000 AS size, coalesce(regexp_matches(text, '(?i)reference|supporting'), false) AS ref FROM documents),
+n AS (SELECT tool, count(*) AS native, count(*) FILTER (NOT ref) AS pn, count(*) FILTER (ref) AS rn, sum(CASE WHEN NOT ref THEN least(12.0, size / 536870912.0) ELSE 0 END) AS big FROM nat GROUP BY 1),
+j AS (SELECT coalesce(n.tool, w.tool) AS tool, coalesce(native, 0) AS native, coalesce(pn, 0) AS pn, coalesce(rn, 0) AS rn, coalesce(p, 0) AS p, coalesce(s, 0) AS s, coalesce(r, 0) AS r, coalesce(big, 0) AS big FROM n FULL JOIN w ON n.tool = w.tool),
+c AS (SELECT *, round(least(40.0, pn * 4.0 + rn * 0.5 + big) + least(35.0, p * 8.0) + least(12.0, s * 0.5) + least(3.0, r * 0.1), 3) AS score FROM j), t AS (SELECT *, max(score) OVER () AS top, row_number() OVER (ORDER BY score DESC, tool) AS nth FROM c WHERE score > 0)
+SELECT tool, native, pn AS primary_native, rn AS reference_native, CAST(p AS BIGINT) AS "primary", CAST(s AS BIGINT) AS supporting, CAST(r AS BIGINT) AS reference, CAST(score AS DOUBLE) AS score, CASE WHEN nth = 1 AND (native > 0 OR score >= 8) THEN 'PRIMARY_TOOL' WHEN (pn > 0 OR p >= greatest(2.0, r * 0.25)) AND score >= greatest(6.0, top * 0.35) THEN 'SECONDARY_TOOL' ELSE 'REFERENCE_TOOL' END AS centrality FROM t
+""")
 def tool_mentions_ranked(spark, sf):
     """Centrality of terms: capped scores over mentions per line and native assets."""
     d = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
@@ -210,9 +235,10 @@ def tool_mentions_ranked(spark, sf):
     return audit.tool_centrality(native, mentions)
 
 
-@query()
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'deliverable' WHEN 1 THEN 'raw_data' ELSE 'documentation' END AS role, CASE page_id % 3 WHEN 0 THEN 'CANONICAL' WHEN 1 THEN 'HISTORICAL' ELSE 'REFERENCE' END AS authority,
+ CAST(CASE page_id % 3 WHEN 0 THEN 0.84 WHEN 1 THEN 0.82 ELSE 0.9 END AS DOUBLE) AS confidence FROM pages""")
 def asset_roles(spark, sf):
-    """Roles by ordered overrides over urls taken as paths; table-driven tests cover each branch."""
+    """Roles by ordered overrides over urls taken as paths; the SQL has what the rules make of these three, table-driven tests cover each branch."""
     p = table(spark, sf, "pages").withColumn("p", F.concat(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""), F.when(F.col("page_id") % 3 == 0, "/final/report.docx").when(F.col("page_id") % 3 == 1, "/old/raw/data.csv").otherwise("/readme.md")))
     return p.select("page_id", paths.asset_role(F.col("p"), paths.extension(F.col("p"))).alias("r")).select("page_id", "r.*")
 

@@ -1,12 +1,6 @@
 """Queries do the whole job: no row is left out by an id or a count."""
 
-import random
-
-import pytest
-from pyspark.sql import functions as F
-
 from ledgerlake import plans
-from ledgerlake.llm import suffix_tree
 
 SF = "/root/testdata/sf0.01"
 
@@ -25,19 +19,3 @@ def test_grid_validate_judges_every_order(spark):
         want.append((o, codes + (["GRID_COORDINATE_MISMATCH"] if k == 4 else [])))
     got = [(r["row"], r["reason_codes"]) for r in plans.queries()["grid_validate"](spark, SF).collect()]
     assert sorted(got) == sorted(want)
-
-
-def test_suffix_tree_keeps_contexts_by_count(spark):
-    """Nothing makes up the shares, so nothing is broadcast: contexts and next words come by their counts alone."""
-    from tests.llm.test_models import brute_scores
-
-    rnd = random.Random(5)
-    rows = [(i, " ".join(w for _ in range(20) for w in rnd.choice([["new", "york", "city"], ["old", "york", "town"], ["the", "end"], [f"r{rnd.randrange(400)}"]]))) for i in range(200)]
-    held = lambda d: d % 7 == 2
-    n = brute_scores(rows, held, 0, 1, 1, 0.05)[0][0][4]
-    want, nodes = brute_scores(rows, held, 0, 16 / n, 80 / n, 0.05)
-    assert {len(k) for k in nodes} == {1, 2}
-    got = suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") % 7 == 2, word_share=1.0, pair_share=1.0, context_share=1.0).collect()
-    for g, w in zip(sorted(map(tuple, got)), sorted(want)):
-        assert g[:5] == w[:5]
-        assert g[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
