@@ -2,13 +2,14 @@
 
 The histogram of lengths over the whole table, at most max_len entries, goes to the driver, where dynamic
 programming chooses the bucket bounds of least padding. Inside a bucket, batches of budget // bound rows
-follow the order of fixed shards: rows are numbered inside a shard, and the shards' counts (at most
-buckets * SHARDS) give each shard its offset. No bucket, however full, is sorted or gathered in one task.
+follow the order of shards: rows are numbered inside a shard, and the shards' counts give each shard its offset. Shards grow in
+number with the table, not in size, and only their counts meet, one row a shard. No bucket, however full, is sorted or gathered in one task.
 
 Texts longer than max_len words are cut into pieces of max_len words and a rest; every word is in one piece.
 
 Defined cases: a null or blank text has one piece of 0 words, which lies in the first bucket; equal rows are packed
-each; an empty table gives an empty result.
+each, and tie in no order that anything rests on; a null id is carried like any other, and so are columns' names, as none but id and text
+is read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql.window import Window
 
 from .common import filled, n_words, scratch
 
-SHARDS = 1024
+#: Shards of a table at least, and rows that a shard has on average where that makes more.
+SHARDS, A_SHARD = 1024, 50_000
 
 
 def optimal_bounds(counts: dict[int, int], buckets: int) -> list[int]:
@@ -98,7 +100,8 @@ def pack(docs: DataFrame, max_len: int = 8192, buckets: int = 16, budget: int =
     bucket = F.lit(len(bounds) - 1)
     for i in range(len(bounds) - 2, -1, -1):
         bucket = F.when(F.col("n_words") <= bounds[i], i).otherwise(bucket)
-    dealt = pieces.withColumn("_bucket", bucket).withColumn("_shard", F.pmod(F.xxhash64("_h", "piece"), F.lit(SHARDS)).cast("int"))
+    shards = max(SHARDS, sum(counts.values()) // A_SHARD)
+    dealt = pieces.withColumn("_bucket", bucket).withColumn("_shard", F.pmod(F.xxhash64("_h", "piece"), F.lit(shards)).cast("int"))
     sizes = dealt.groupBy("_bucket", "_shard").agg(F.count("*").alias("_size"))
     before = Window.partitionBy("_bucket").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
