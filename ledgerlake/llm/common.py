@@ -84,6 +84,13 @@ def sieve(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, Dat
     return at.where(hit).select(*rows.columns), at.where(~hit).select(*rows.columns)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lets texts go to Python in Arrow batches of at most so many bytes (or one text), whatever the session allows: memory then follows the batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) != f"{most}b":
+        spark.conf.set(key, f"{most}b")
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished jobs now, instead of whenever the driver's garbage is collected."""
     spark.sparkContext._jvm.System.gc()

@@ -6,7 +6,8 @@ budget then is one threshold per source: rows whose hash lies at or below it are
 others. Thresholds nest: the rows of a smaller budget are among those of a larger one. No row is ever sorted.
 
 Defined cases: a null text has size 0; the null source is a source of its own and comes last; equal rows
-share a hash and are taken alike; sources without words have target 0; an empty table gives an empty result.
+share a hash and are taken alike; sources without words have target 0; null ids are ids like any other;
+columns of any name stay as they are in the mixed documents; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ and the L1 term leaves most weights at zero: what is left is a sparse table, sma
 (at most 2**BITS weights). The model is fitted on at most per_class labelled documents of either label, those of the smallest
 hashes, in one task of that bounded size; every document is then scored, whole.
 
-Defined cases: null and empty texts get the score of the intercept alone; without labels of both kinds every score is near 0; repeated ids in the labels count once, by their highest label; equal texts get equal scores.
+Defined cases: null and empty texts get the score of the intercept alone; without labels of both kinds every score is near 0; repeated ids in the labels count once, by their highest label; equal texts get equal scores;
+a document without an id counts as one of the empty id and has no label; no columns but id and text are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import filled, scratch
+from .common import filled, scratch, small_batches
 
 BITS = 18
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 8.0, 1.0, 5
@@ -122,6 +123,7 @@ def part_of(ident: Column, parts: int) -> Column:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted. held_out: over id_col; such rows are never learnt from."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), filled(F.col(text_col)).alias("text"), held_out.alias("held_out"))
     rows = rows.select(F.col(id_col).alias("doc_id"), "text", "held_out")
     known = labels.where(~held_out).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("label")).where("doc_id is not null and label in (0, 1)")

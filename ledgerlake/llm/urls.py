@@ -6,7 +6,8 @@ rule fits takes its class's decision: allowed if any alias is explicitly allowed
 blocked, else allowed. A url's own rule always comes before what its aliases say.
 
 Aliases are compared without scheme and fragment. Defined cases: a null url, or one without "://", has empty host and path,
-fits no rule and has no aliases; equal urls get equal verdicts; empty tables give empty results.
+fits no rule and has no aliases; equal urls get equal verdicts; a null page id is carried
+like any other; no columns but id, url and html are read; empty tables give empty results.
 """
 
 from __future__ import annotations
