@@ -5,13 +5,13 @@ min_context times, and is retained when its next-word distribution differs from
 by at least `divergence` nats. Levels are searched one by one: a context of d + 1 words lies in a candidate of d words, and the search ends
 with the first level that has none. A node keeps the next words that occur min_next times after it; the rest of its mass, plus
 one, goes to its parent's distribution, and at the root every word has (count + 1) / (N + V + 1). A token is scored at
-the longest retained suffix of what precedes it in its text. In small corpora the floors are lower: the shares of
-the training tokens, where those are less than min_context and min_next.
+the longest retained suffix of what precedes it in its text. The floors are those of a corpus of `corpus` tokens: in larger ones they
+rise with the root of its size, so that the model, too, grows with the corpus about as its root, and never stops; in smaller ones they fall with its size.
 
 The model grows with the corpus and lies in partitioned tables. In logarithms a token's score is a sum: the root's, and for each
 length a term of the context, if it is retained, and one of the next word, if that is kept after it. So the model is a table of
-keys and terms. Terms and words that make up word_share of the training tokens (at most 1 / word_share of each kind) are broadcast, which saves
-time and changes no result; keys of other terms, and rare words, meet their terms and counts in a join. Bitmaps of keys
+keys and terms. Words that make up word_share of the training tokens (at most 1 / word_share of them), and terms that make up
+term_share, at most MOST_TERMS, are broadcast, which saves time and changes no result; keys of other terms, and rare words, meet their terms and counts in a join. Bitmaps of keys
 pass over what has no term; they can only let too much through.
 
 Defined cases: null and empty texts are one end token; equal rows get equal scores; a null id counts as an
@@ -30,40 +30,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import filled, scratch, tidy
+from .common import discard, filled, scratch, small_batches, tidy
 
 END = np.uint64(0x5DEECE66D)
-HELD = 1 << 21
-MOST_BITS = 28
+HELD = 1 << 20
+#: Bits of a bitmap (16 MB), and terms that are broadcast (64 MB).
+MOST_BITS, MOST_TERMS = 27, 1 << 22
 
 
 class Counter:
-    """Counts of 64-bit keys, in sorted arrays; gives up what it holds when that passes a bound."""
+    """Counts of 64-bit keys, with more columns that go with the key, in sorted arrays; gives up what it holds when that passes a bound."""
 
     def __init__(self):
         self.parts, self.size = [], 0
 
-    def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        k, c = np.unique(keys, return_counts=True)
-        self.parts.append((k, c))
+    def add(self, keys: np.ndarray, *more: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        k, first, c = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append((k, c, *(m[first] for m in more)))
         self.size += len(k)
         if self.size > HELD:
-            k, c = self.merged()
-            self.parts, self.size = [(k, c)], len(k)
+            held = self.merged()
+            self.parts, self.size = [held], len(held[0])
             if self.size > HELD // 2:
                 self.parts, self.size = [], 0
-                yield k, c
+                yield held
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        k = np.concatenate([p[0] for p in self.parts])
-        c = np.concatenate([p[1] for p in self.parts])
+    def merged(self) -> tuple[np.ndarray, ...]:
+        k, c, *more = (np.concatenate(x) for x in zip(*self.parts))
         order = np.argsort(k, kind="stable")
-        k, c = k[order], c[order]
+        k = k[order]
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        return k[first], np.add.reduceat(c, first)
+        return k[first], np.add.reduceat(c[order], first), *(m[order][first] for m in more)
 
-    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if self.parts:
+    def rest(self) -> Iterator[tuple[np.ndarray, ...]]:
+        if self.parts and self.size:
             yield self.merged()
 
 
@@ -85,19 +85,12 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _before(doc: np.ndarray, gap: int) -> np.ndarray:
-    """Whether a token has another of its document that many places before it."""
-    out = np.zeros(len(doc), bool)
-    out[gap:] = doc[gap:] == doc[:-gap]
-    return out
-
-
 class Bits:
     """A bitmap of the upper bits of 64-bit keys."""
 
     def __init__(self, keys: DataFrame, n: int):
         """keys: (k), n of them."""
-        self.size = min(max(int(n * 64).bit_length(), 12), MOST_BITS)
+        self.size = min(max(int(n * 16).bit_length(), 12), MOST_BITS)
         at = F.call_function("shiftrightunsigned", F.col("k"), F.lit(64 - self.size))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
         pdf = keys.select(F.call_function("shiftrightunsigned", at, F.lit(6)).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
@@ -111,11 +104,11 @@ class Bits:
 
 class Model:
     """words: hashes of frequent words, sorted, with counts. keys: those of frequent terms, sorted, with the terms;
-    bits: a bitmap of the keys of all terms; depth: the length of the longest contexts."""
+    bits: a bitmap of the keys of all terms; deep: bitmaps of the candidate contexts of 1, 2, ... words."""
 
     def __init__(self, words, counts, total, distinct):
         self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
-        self.keys, self.terms, self.bits, self.depth = np.zeros(0, np.int64), np.zeros(0), None, 0
+        self.keys, self.terms, self.bits, self.deep = np.zeros(0, np.int64), np.zeros(0), None, []
 
     def root(self, at: np.ndarray) -> np.ndarray:
         """log10 of the root's probability of frequent words; 0 for others."""
@@ -125,17 +118,22 @@ class Model:
 
     def score(self, tok: np.ndarray, doc: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """base with the frequent terms added, and documents and keys of what may have other terms."""
-        lp, docs, keys = base.copy(), [], []
-        if self.bits is None:
-            return lp, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at, k in _grams(tok, doc, self.depth):
-            hit = self.bits.has(k)
+        lp, docs, keys = base.copy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def look(at: np.ndarray, k: np.ndarray) -> np.ndarray:
+            """Adds the terms of keys; which of them may have one."""
+            hit = np.flatnonzero(self.bits.has(k))
             at, k = at[hit], k[hit]
             where = find(self.keys, k)
             known = where >= 0
             lp[at[known]] += self.terms[where[known]]
             docs.append(doc[at[~known]])
             keys.append(k[~known])
+            return hit
+
+        for depth, (at, node, key, _) in enumerate(_levels(tok, doc, self.deep), 1):
+            retained = look(at, _marked(node, depth))
+            look(at[retained], key[retained])  # next words have terms only where their context has one
         docs, keys = np.concatenate(docs), np.concatenate(keys)
         order = np.argsort(docs, kind="stable")
         return lp, docs[order], keys[order]
@@ -147,23 +145,24 @@ def _marked(node, depth: int):
     return node ^ np.int64(mark) if isinstance(node, np.ndarray) else node.bitwiseXOR(F.lit(mark))
 
 
-def _levels(tok: np.ndarray, doc: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For 1 to depth words of context: places of tokens that have so many before them, the context's key, the key of the context
-    and the token, and that key without the oldest word."""
-    at, key = np.arange(len(tok)), tok.view(np.int64)
-    for gap in range(1, depth + 1):
-        far = np.flatnonzero(_before(doc, gap)[at])
-        node, last = key[far - 1], key[far]  # a token that has gap words before it follows one that has gap - 1
-        at = at[far]
-        key = W.chain(node.view(np.uint64), tok[at]).view(np.int64)
-        yield at, node, key, last
+def _key(node: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The key of some words: of the keys of all but the last and all but the first."""
+    return W.chain(node.view(np.uint64), last.view(np.uint64)).view(np.int64)
 
 
-def _grams(tok: np.ndarray, doc: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places and keys of all that may hold a term of a token."""
-    for d, (at, node, key, _) in enumerate(_levels(tok, doc, depth), 1):
-        yield at, _marked(node, d)
-        yield at, key
+def _levels(tok: np.ndarray, doc: np.ndarray, deep: list[Bits]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For contexts of 1, 2, ... words: places of tokens that a candidate precedes, the candidate's key, the key of both, and that key without the oldest word.
+
+    A candidate's words without the first, or the last, are candidates too, so each level only looks where the one before has found some.
+    """
+    at, keys = np.arange(len(tok)), tok.view(np.int64)
+    for bits in deep:
+        # Neighbours that both end such words, in one text.
+        both = np.flatnonzero((at[1:] == at[:-1] + 1) & (doc[at[1:]] == doc[at[:-1]])) + 1
+        both = both[bits.has(keys[both - 1])]
+        node, last, at = keys[both - 1], keys[both], at[both]
+        keys = _key(node, last)
+        yield at, node, keys, last
 
 
 def _counted(keys_of):
@@ -190,33 +189,33 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pdf["k"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64)
 
 
-def _deeper(depth: int, kept, deep):
-    """A mapInArrow function: (context, key, last, count) of next words after candidates of depth words.
-
-    kept: a bitmap of the keys of depth words that are frequent enough to end a longer one; deep: of the candidates. With counted pairs (depth 1)
-    kept has the pairs themselves, and each comes once from a task, with no count.
-    """
+def _next_words(deep, kept):
+    """A mapInArrow function: (context, last, count) of next words after candidates of len(deep) words. deep: bitmaps of the candidates of each
+    length; kept: one of the keys that are frequent enough to end longer ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
+        held = Counter()
+        out = lambda x: pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (x[2], x[3], x[1])], ["node", "last", "c"])
         for batch in batches:
             data, off = W.buffers(batch.column("text"))
             for i, j in W.doc_groups(off):
                 tok, doc = tokens(data, off[i : j + 1])
-                for at, node, key, last in _levels(tok, doc, depth):
+                for _, node, key, last in _levels(tok, doc, deep.value):
                     pass
-                hit = np.flatnonzero(kept.value.has(key) if depth == 1 else deep.value.has(node) & kept.value.has(last))
-                k, first, c = np.unique(key[hit], return_index=True, return_counts=True)
-                node, last = node[hit][first], last[hit][first]
-                if depth == 1:
-                    fresh = find(seen, k) < 0
-                    k, node, last, c = k[fresh], node[fresh], last[fresh], np.zeros(int(fresh.sum()), np.int64)
-                    seen = np.union1d(seen, k) if len(seen) < HELD else k
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (node, k, last, c)], ["node", "k", "last", "c"])
+                hit = np.flatnonzero(kept.value.has(last))
+                yield from map(out, held.add(key[hit], node[hit], last[hit]))
+        yield from map(out, held.rest())
 
     return run
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the key of each (node, last)."""
+    for batch in batches:
+        k = _key(*(batch.column(c).to_numpy() for c in ("node", "last")))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k, pa.int64())], [*batch.schema.names, "k"])
+
+
 def _nodes(kids: DataFrame, divergence: float) -> DataFrame:
     """kids: (node, total, c, parent), c and the parent's probability of each kept next word. (node, total, rest) of retained contexts."""
     share = F.col("c") / F.col("total")
@@ -235,62 +234,58 @@ def _terms(nodes: DataFrame, kids: DataFrame, depth: int) -> DataFrame:
     return own.union(kids.select("node", "k", "c", "parent").join(nodes, "node").select("k", "c", more.alias("term")))
 
 
-def fit(train: DataFrame, word_share: float = 1e-6, pair_share: float = 4e-6, context_share: float = 2e-5, divergence: float = 0.05, min_next: int = 16, min_context: int = 80, max_depth: int = 5) -> tuple[DataFrame, Model, DataFrame | None]:
+def floors(total: int, min_next: float, min_context: float, corpus: float) -> tuple[float, float]:
+    """Least counts of next words and of contexts in a corpus of total tokens."""
+    rise = math.sqrt(total / corpus) if total > corpus else total / corpus
+    return max(min_next * rise, 2), max(min_context * rise, 2)
+
+
+def fit(train: DataFrame, word_share: float = 1e-6, term_share: float = 5e-7, min_next: float = 16, min_context: float = 80, corpus: float = 4e6, divergence: float = 0.05, max_depth: int = 5) -> tuple[DataFrame, Model, DataFrame | None]:
     """train: (text). The counts of all tokens (k, c), the model's broadcast part, and its other terms (k, term), both tables in the shared folder."""
-    share = train.sparkSession.sparkContext.broadcast
-    bits = lambda rows: share(Bits(rows.select("k"), rows.count()))
+    spark = train.sparkSession
+    share = spark.sparkContext.broadcast
+    bits = lambda rows: Bits(rows.select("k"), rows.count())
     vocab = scratch(_sums(train, lambda d, o: tokens(d, o)[0].view(np.int64)))
-    tidy(train.sparkSession)
+    tidy(spark)
     total, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     m = Model(*_arrays(vocab.where(F.col("c") >= word_share * total)), total, distinct)
     if not total:
         return vocab, m, None
-    least, least_context = max(min(min_next, pair_share * total), 2), max(min(min_context, context_share * total), 2)
-
-    # Pairs are counted by key alone, as they are many; a pair is no more frequent than either of its words.
-    word_bits = bits(vocab.where(F.col("c") >= least))
-
-    def pairs(d, o):
-        tok, doc = tokens(d, o)
-        at, _, key, _ = next(_levels(tok, doc, 1))
-        fine = word_bits.value.has(tok.view(np.int64))
-        return key[fine[at] & fine[at - 1]]
-
-    counts = scratch(_sums(train, pairs).where(F.col("c") >= least))
-    tidy(train.sparkSession)
+    least, least_context = floors(total, min_next, min_context, corpus)
 
-    # grams: (k, c, p), keys of depth words and the model's probability of the last of them after the others.
+    # grams: (k, c, p), keys of as many words as the level has, and the model's probability of the last of them after the others.
     grams = vocab.where(F.col("c") >= least).select("k", "c", ((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("p"))
-    kept, terms, depth = bits(counts), None, 0
-    while depth < max_depth:
+    terms, made = None, []
+    while len(m.deep) < max_depth:
         deep = grams.where(F.col("c") >= least_context)
         if deep.isEmpty():
             break
-        depth += 1
-        met = train.mapInArrow(_deeper(depth, kept, bits(deep) if depth > 1 else None), "node long, k long, last long, c long")
-        if depth == 1:
-            met = met.dropDuplicates(["k"]).drop("c").join(counts, "k")
-        else:
-            met = met.groupBy("node", "k", "last").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+        m.deep.append(bits(deep))
+        depth = len(m.deep)
+        met = train.mapInArrow(_next_words(share(m.deep), share(bits(grams))), "node long, last long, c long").groupBy("node", "last").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+        met = met.mapInArrow(_keyed, "node long, last long, c long, k long")
         kids = met.join(grams.select(F.col("k").alias("last"), F.col("p").alias("parent")), "last")
-        kids = kids.join(grams.select(F.col("k").alias("node"), F.col("c").alias("total")), "node")
-        kids = scratch(kids.select("k", "node", "total", "c", "parent"))
-        tidy(train.sparkSession)
+        kids = scratch(kids.join(grams.select(F.col("k").alias("node"), F.col("c").alias("total")), "node").select("k", "node", "total", "c", "parent"))
+        tidy(spark)
         nodes = scratch(_nodes(kids.where(F.col("total") >= least_context), divergence))
         found = _terms(nodes, kids, depth)
         terms = found if terms is None else terms.union(found)
         p = F.when(F.col("rest").isNull(), F.col("parent")).otherwise((F.col("c") + (F.col("rest") + 1) * F.col("parent")) / (F.col("total") + 1))
         grams = scratch(kids.join(nodes.select("node", "rest"), "node", "left").select("k", "c", p.alias("p")))
-        kept = bits(grams)
+        made += [kids, nodes, grams]
     if terms is None:
         return vocab, m, None
     terms = scratch(terms)
+    discard(*made)
 
-    hot = F.col("c") >= word_share * total
+    cut = term_share * total
+    while terms.where(F.col("c") >= cut).count() > MOST_TERMS:
+        cut *= 2
+    hot = F.col("c") >= cut
     pdf = terms.where(hot).select("k", "term").toPandas().sort_values("k")
-    m.keys, m.terms, m.depth = pdf["k"].to_numpy(np.int64), pdf["term"].to_numpy(np.float64), depth
+    m.keys, m.terms = pdf["k"].to_numpy(np.int64), pdf["term"].to_numpy(np.float64)
     m.bits = Bits(terms.select("k"), terms.count())
-    tidy(train.sparkSession)
+    tidy(spark)
     return vocab, m, terms.where(~hot).select("k", "term")
 
 
@@ -322,6 +317,7 @@ def _scored(shared):
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **sizes: float) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col), filled(F.col(text_col)).alias("text"), held_out.alias("held_out")).select(F.col(id_col).alias("doc_id"), "text", "held_out")
     vocab, model, cold = fit(rows.where(~F.col("held_out")).select("text"), **sizes)
     kind = dict(rows.dtypes)["doc_id"]

@@ -15,13 +15,12 @@ from ledgerlake.llm import suffix_tree, toxicity
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute_scores(rows, held, word_share, pair_share, context_share, divergence, max_depth):
+def brute_scores(rows, held, least, least_context, divergence, max_depth):
     seqs = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(t or "")] + [None] for _, t in rows]
     train = [s for s, (d, _) in zip(seqs, rows) if not held(d)]
     count = [Counter(tuple(s[i : i + g]) for s in train for i in range(len(s) - g + 1)) for g in range(max_depth + 2)]
     n, v = sum(count[1].values()), len(count[1])
     p0 = lambda w: (count[1][w,] + 1) / (n + v + 1)
-    least, least_context = max(pair_share * n, 2), max(context_share * n, 2)
     nodes = {}
 
     def prob(w, ctx):
@@ -64,11 +63,10 @@ def test_suffix_tree(spark, seed, max_depth):
         rows.append((i, rnd.choice([" ", "\n"]).join(w)))
     rows += [(500, None), (501, ""), (502, "\t"), (None, "the end"), (7, rows[7][1]), (503, "only once here"), (504, "the " * 5_000)]
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
-    shares = {"word_share": 1e-4, "pair_share": 2e-4, "context_share": 5e-4, "divergence": 0.05, "max_depth": max_depth}
-    want, nodes = brute_scores(rows, held, **shares)
+    want, nodes = brute_scores(rows, held, 2, 3.5, 0.05, max_depth)
     assert {len(k) for k in nodes} == set(range(1, max_depth + 1))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = suffix_tree.score_texts(df, toxicity.part_of(F.col("doc_id"), 7) == 2, **shares).collect()
+    got = suffix_tree.score_texts(df, toxicity.part_of(F.col("doc_id"), 7) == 2, word_share=1e-4, term_share=1e-3, min_next=0, min_context=3.5 * 1e9 / want[0][4], corpus=1e9, max_depth=max_depth).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
     for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key)):
         assert g[:5] == w[:5]
@@ -119,3 +117,23 @@ def test_ftrl_is_sparse_and_separates():
     w, b = toxicity.ftrl(rows, y)
     assert w[7] > 0
     assert (w != 0).sum() < 50
+
+
+def test_suffix_tree_keeps_contexts_by_count(spark):
+    """Nothing makes up the shares, so nothing is broadcast; in a corpus of the floors' own size, contexts and next words come by those counts."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join(w for _ in range(20) for w in rnd.choice([["new", "york", "city"], ["old", "york", "town"], ["the", "end"], [f"r{rnd.randrange(400)}"]]))) for i in range(200)]
+    held = lambda d: d % 7 == 2
+    want, nodes = brute_scores(rows, held, 16, 80, 0.05, 5)
+    assert {len(k) for k in nodes} >= {1, 2}
+    got = suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") % 7 == 2, word_share=1.0, term_share=1.0, corpus=want[0][4]).collect()
+    for g, w in zip(sorted(map(tuple, got)), sorted(want)):
+        assert g[:5] == w[:5]
+        assert g[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
+
+
+def test_floors_rise_with_the_root_of_the_corpus():
+    assert suffix_tree.floors(4_000_000, 16, 80, 4e6) == (16, 80)
+    assert suffix_tree.floors(400_000_000, 16, 80, 4e6) == (160, 800)
+    assert suffix_tree.floors(1_000_000, 16, 80, 4e6) == (4, 20)
+    assert suffix_tree.floors(10, 16, 80, 4e6) == (2, 2)
