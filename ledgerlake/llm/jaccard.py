@@ -14,7 +14,7 @@ other half; and last those that a sample of the shingles shows to be met very of
 enough to put rare ones first, and no count of a very frequent one is ever gathered.
 
 1. Shingles of the counted half are dealt out by range of their hash and counted there; those met twice come back to their documents.
-2. Sets that share an early shingle lie in one bucket. Buckets are dealt to tasks by their smallest set, and a task searches a tree
+2. Sets that share an early shingle lie in one bucket. Buckets are dealt to tasks by their smallest set and their size, and a task searches a tree
    of all its sets' points, from set to set through sets not yet reached, for sets that share a bucket; so it emits a
    spanning forest, never all pairs. A bucket of more than `block` sets is linked to its smallest set as a whole.
 3. Components over these links are classes, inside which all links lie. A class is one tree with shingles again, and only verified
@@ -42,12 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words as W
-from .common import components, discard, filled, scratch
+from .common import components, discard, filled, scratch, small_batches
 
 #: Groups of sets below these sizes; entries of a box.
 DIMS, BELOW, PAGE = (64, 256, 1024, 4096), (1024, 4096, 16384), 32
-#: Shingles that a map task holds at once, that a range of hashes has, that are sampled, and how often a frequent one is in the sample.
-HELD, A_RANGE, SAMPLED, OFTEN = 1 << 20, 1 << 20, 10_000_000, 16
+#: Shingles that a map task holds at once (more with many ranges, for 8 of a range to go together), that a range of hashes has, that are sampled, and
+#: how often a frequent one is in the sample.
+HELD, MOST_HELD, A_RANGE, MOST_BITS, SAMPLED, OFTEN = 1 << 20, 1 << 23, 1 << 18, 20, 10_000_000, 16
 FILTER_BITS = 26
 _FEW = np.uint64(32)
 
@@ -174,8 +175,8 @@ class Trees:
         return found[100 * both >= self.percent * (n + self.size[found] - both)]
 
 
-def forest(trees: Trees, near: list[np.ndarray] | None = None) -> np.ndarray:
-    """For each set, the first set of its component. near: the only sets that each may be linked with."""
+def forest(trees: Trees, near: list[list[np.ndarray]] | None = None) -> np.ndarray:
+    """For each set, the first set of its component. near: the only sets that each may be linked with, in parts that sets share."""
     m = len(trees.size)
     root, alive = np.arange(m), np.ones(m, bool)
     for start in range(m):
@@ -188,7 +189,8 @@ def forest(trees: Trees, near: list[np.ndarray] | None = None) -> np.ndarray:
             left = alive
             if near is not None:
                 left = np.zeros(m, bool)
-                left[near[at]] = True
+                for x in near[at]:
+                    left[x] = True
                 left &= alive
                 if not left.any():
                     continue
@@ -229,7 +231,7 @@ class _Held:
         self.meta.append((len(s), len(counted), *ident))
         self.points.append(point_of(s))
         self.size += len(counted)
-        return self.size >= HELD or len(self.meta) >= 1 << 16
+        return self.size >= min(max(HELD, 8 << self.bits), MOST_HELD) or len(self.meta) >= 1 << 16
 
     def dealt(self) -> pa.RecordBatch | None:
         """A row for each range of hashes: 32 bits of each shingle, and its set's number; and one for all the sets."""
@@ -377,8 +379,7 @@ def _bucket_links(percent: int):
         for x in buckets.values():
             for i in x.tolist():
                 mine[i].append(x)
-        near = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in mine]
-        root = forest(Trees(own["n"].to_numpy(np.int64), [np.frombuffer(x, np.uint32) for x in own["point"]], percent), near)
+        root = forest(Trees(own["n"].to_numpy(np.int64), [np.frombuffer(x, np.uint32) for x in own["point"]], percent), mine)
         return pd.DataFrame({"a": nodes, "b": nodes[root]}).query("a != b")
 
     return run
@@ -493,6 +494,7 @@ def _classified(docs: DataFrame, k: int, percent: int, block: int, id_col: str,
     if not 1 <= percent <= 100:
         raise ValueError("percent runs from 1 to 100")
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), filled(F.col(text_col)).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"), "text")
     kind = dict(rows.dtypes)["doc_id"]
@@ -505,18 +507,18 @@ def _classified(docs: DataFrame, k: int, percent: int, block: int, id_col: str,
     shared = spark.sparkContext.broadcast
     hot = shared(np.sort(hot["s"].to_numpy(np.int64).view(np.uint64)))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(max((total // A_RANGE).bit_length(), 5, (partitions - 1).bit_length()), 24)
+    bits = min(max((total // A_RANGE).bit_length(), 5, (partitions - 1).bit_length()), MOST_BITS)
     dealt = rows.select("text").mapInArrow(_dealt(k, percent, bits, hot), DEALT)
     early_ = dealt.groupBy("g").applyInPandas(_counted, DEALT).groupBy("base").applyInPandas(_early(percent), "i1 long, i2 long, n long, point binary, shingles array<long>")
     # Equal sets of different buffers have the same early shingles.
     nodes = scratch(early_.dropDuplicates(["i1", "i2"]).withColumn("node", F.monotonically_increasing_id()))
 
     held = nodes.select("node", F.explode("shingles").alias("shingle"))
-    buckets = held.groupBy("shingle").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1")
+    buckets = scratch(held.groupBy("shingle").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1"))
     held = scratch(held.join(buckets, "shingle"))
     few = held.where(F.col("members") <= block)
     bins = max(partitions, held.count() // 50_000 + 1)
-    few = few.select(F.pmod(F.xxhash64("least"), F.lit(bins)).alias("bin"), "shingle", "node")
+    few = few.select(F.pmod(F.xxhash64("least", "members"), F.lit(bins)).alias("bin"), "shingle", "node")
     points = few.select("bin", "node").distinct().join(nodes.select("node", "n", "point"), "node").select("bin", F.lit(None).cast("long").alias("shingle"), "node", "n", "point")
     both = points.unionByName(few.select("bin", "shingle", "node", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("point")))
     links = both.groupBy("bin").applyInPandas(_bucket_links(percent), "a long, b long")
@@ -532,7 +534,7 @@ def _classified(docs: DataFrame, k: int, percent: int, block: int, id_col: str,
     comps = link_nodes(grams.select("class", "node", "members", "grams"), percent, block)
     comps = scratch(comps.join(nodes.select("node", "i1", "i2"), "node").select("i1", "i2", "component"))
     out = scratch(table.join(comps, ["i1", "i2"], "left").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "i1", "i2", "component"))
-    discard(table, held, chosen, comps, nodes)
+    discard(table, buckets, held, chosen, comps, nodes)
     return out
 
 
