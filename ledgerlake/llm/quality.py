@@ -7,7 +7,8 @@ threshold is found on the scores of the labelled documents that pass the base ru
 share of good documents lost plus the share of bad documents kept, the lowest at ties. It is then applied to every document.
 
 Defined cases: a null text has no words and fails the base rules; texts without n-grams score 0; without labels of
-both kinds, or without a target, nothing is rejected by score; repeated ids in the labels count once, by their highest label.
+both kinds, or without a target, nothing is rejected by score; repeated ids in the labels count once, by their highest label; a document
+without an id is judged, but has no label; equal rows get equal verdicts; no columns but id and text are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, scratch
+from .common import filled, scratch, sieve
 
 BUCKETS, STEP, CLIP = 8192, 0.005, 20.0
 SYMBOLS = r"[#*$%&|<>]"
@@ -72,7 +73,10 @@ def _places(words: str, first: int) -> Column:
 def bucket_weights(docs: DataFrame, labels: DataFrame) -> list[float]:
     """log(p_target / p_raw) by bucket; zeros without a target."""
     good = labels.where("quality = 1").select("_id", F.lit(1).alias("_good"))
-    rows = docs.join(good, "_id", "left").select(words_of(F.col("_text")).alias("_w"), F.coalesce("_good", F.lit(0)).alias("_good"))
+    # Only texts that may be of the target meet its ids: the others stay where they are. They meet in a sort-merge join at every size, as labels may be many.
+    may, other = sieve(docs.select("_id", "_text"), F.xxhash64("_id"), good.select(F.xxhash64("_id").alias("k")))
+    rows = may.join(good.hint("merge"), "_id", "left").unionByName(other.withColumn("_good", F.lit(0)))
+    rows = rows.select(words_of(F.col("_text")).alias("_w"), F.coalesce("_good", F.lit(0)).alias("_good"))
     grams = F.concat(F.transform(_places("_w", 0), lambda i: _single("_w", i)), F.transform(_places("_w", 1), lambda i: _pair("_w", i)))
     counts = rows.select("_good", F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_good").alias("target")).collect()
     raw, target = [1] * BUCKETS, [1] * BUCKETS
