@@ -1,4 +1,9 @@
-"""A training-corpus pipeline over `documents`: five stages, each one operator at work on all that the one before kept."""
+"""A training-corpus pipeline over `documents`: five stages, each one operator at work on all that the one before kept.
+
+Defined cases: null and empty texts have no words and fail the quality rules; null ids stay, and come last where one of several documents is
+chosen; of equal rows one stays; documents whose text is changed get a new n_chars; other columns, whatever their names, stay as they are up to
+packing, which returns columns of its own; an empty table goes through as one.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import jaccard, lines, mixing, packing, quality
-from ledgerlake.llm.common import WORD, filled, scratch
+from ledgerlake.llm.common import WORD, filled, scratch, sieve
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     judged = quality.quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = judged.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    gone = scratch(judged.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(filled(F.col("text"))).alias("key"))
-    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi").select("row.*")
+    may, stay = sieve(rows, F.xxhash64("id", "key"), gone.select(F.xxhash64("gone_id", "gone_key").alias("k")))
+    may = may.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    return stay.unionByName(may).select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs of 50 words or more go; so do documents that have no word left."""
-    out = lines.dedup_lines(docs, min_words=50)
+    out = lines.delete_runs(docs, min_words=50)
+    changed = F.col("n_removed") > 0
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.where((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(WORD))).select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        row = row.withField("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("row.n_chars")))
+    return out.where(~changed | F.regexp_like("text", F.lit(WORD))).select(row.alias("row")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
