@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import discard, filled, scratch, tidy
+from .common import discard, filled, scratch, small_batches, tidy
 
 SEGMENT, FILTER_SHARE, LEAST_BITS, MOST_BITS = 1 << 20, 16, 20, 30
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
@@ -255,6 +255,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep: str = "first", gram:
     if not (8 <= gram <= length and 1 <= block <= 64 and length - block + 1 >= 8) or keep not in ("first", "none"):
         raise ValueError("grams and cores take at least 8 bytes, blocks at most 64 starts; keep is 'first' or 'none'")
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), filled(F.col(text_col)).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"), "text")
     kind = dict(rows.dtypes)["doc_id"]
@@ -271,7 +272,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep: str = "first", gram:
     blocks = scratch(rows.mapInArrow(_blocks(length, gram, block, shared, bits), schema))
     discard(grams)
     tidy(spark)
-    cores = blocks.groupBy("core").agg(F.count("*").alias("total")).where("total > 1").select("core")
+    # As a table of its own, so that a core that is met very often can be dealt to several tasks in the join.
+    cores = scratch(blocks.groupBy("core").agg(F.count("*").alias("total")).where("total > 1").select("core"))
     # Another name for the core, so that equal contexts are summed up before they are dealt out anew: a core may be met very often.
     one = blocks.join(cores, "core").withColumn("name", F.bitwise_not("core")).drop("core")
     earlier = ["m_id", "m_k1", "m_k2", "m_base"] if keep == "first" else []
@@ -299,7 +301,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep: str = "first", gram:
         found = places.join(flags, ["core", "context"]).select("k1", "k2", "base", F.when(here, F.col("mask").bitwiseAND(F.bitwise_not("first"))).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
     found = found.groupBy("k1", "k2", "base").agg(F.bit_or("mask").alias("mask")).groupBy("k1", "k2").agg(F.collect_list(F.struct("base", "mask")).alias("found"))
     found = scratch(found)
-    discard(blocks, opened, large, flags)
+    discard(blocks, cores, opened, large, flags)
     tidy(spark)
     out = rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "found")
     return out.mapInArrow(_cut(length, block), f"doc_id {kind}, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
