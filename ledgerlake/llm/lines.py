@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, filled, scratch
+from .common import WORD, discard, filled, scratch, sieve
 
 
 def _doubled(x: str, step: int, join) -> Column:
@@ -89,9 +89,13 @@ def delete_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     found = scratch(windows(keyed.select("id", "k1", "k2", "text"), min_words))
     gone = scratch(later_copies(found).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("gone")))
     discard(found)
+    # Only texts that may lose lines meet what they lose: the others stay where they are. They meet in a sort-merge join at every size.
+    may, other = sieve(keyed, F.col("k1"), gone.select(F.col("k1").alias("k")))
+    met = may.join(gone.hint("merge"), ["k1", "k2"], "left").select("row", "old", "text", "gone")
     hit = F.col("gone").isNotNull()
     lines = F.split("text", "\n")
-    out = keyed.join(gone, ["k1", "k2"], "left").withColumn("lines", F.when(hit, lines)).withColumn("n_lines", F.size(lines).cast("long"))
+    out = met.unionByName(other.select("row", "old", "text", F.lit(None).cast(dict(gone.dtypes)["gone"]).alias("gone")))
+    out = out.withColumn("lines", F.when(hit, lines)).withColumn("n_lines", F.size(lines).cast("long"))
     dead = F.flatten(F.transform("gone", lambda d: F.sequence(d["s"], d["e"])))
     out = out.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), dead))
     left = F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n")
