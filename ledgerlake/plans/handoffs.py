@@ -328,7 +328,7 @@ r AS (SELECT 'DUPLICATE_CANDIDATE' AS t, p FROM dup UNION ALL SELECT 'LARGE_FILE
 UNION ALL SELECT 'BROKEN_LINK', [path] FROM x WHERE rc LIKE 'BROKEN%' UNION ALL SELECT 'LINK_BOUNDARY', [path] FROM x WHERE rc LIKE '%BOUNDARY' UNION ALL SELECT 'SCAN_INCOMPLETE', [path] FROM x WHERE rc LIKE 'PERM%' OR rc LIKE 'HASH%'
 UNION ALL SELECT 'EXPECTED_OUTPUT_NOT_CREATED', ['none/' || c_custkey] FROM customer UNION ALL SELECT 'CONTENT_SCAN_INCOMPLETE', [path] FROM t WHERE CAST(path AS INT) % 50 = 1 UNION ALL SELECT 'ABSOLUTE_PATH_REFERENCE', [path] FROM h
 UNION ALL SELECT 'BROKEN_REFERENCE', ['m/' || doc_id || '.md'] FROM documents WHERE doc_id % 10 = 0),
-n AS (SELECT t, p, row_number() OVER (ORDER BY t, p) AS n FROM r) SELECT t AS risk_type, p AS relative_paths, concat('RISK-', CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE substr(CAST(n AS VARCHAR), 1, 4) END) AS risk_id FROM n""")
+n AS (SELECT t, p, row_number() OVER (ORDER BY t, p) AS n FROM r) SELECT t AS risk_type, p AS relative_paths, printf('RISK-%04d', n) AS risk_id FROM n""")
 def risk_register_whole(spark, sf):
     """All ten types of risk in one register."""
     e, told = reasoned(spark, sf), _told(spark, sf)

@@ -186,7 +186,7 @@ def large_files(spark, sf):
 
 @query("""WITH r AS (SELECT 'DUPLICATE_CANDIDATE' AS risk_type, list_sort(list(lpad(CAST(doc_id AS VARCHAR), 9, '0'))) AS relative_paths FROM documents GROUP BY sha256(text) HAVING count(*) > 1
 UNION ALL SELECT 'LARGE_FILE', [lpad(CAST(doc_id AS VARCHAR), 9, '0')] FROM documents WHERE n_chars >= 10000)
-SELECT risk_type, relative_paths, concat('RISK-', lpad(CAST(row_number() OVER (ORDER BY risk_type, relative_paths) AS VARCHAR), 4, '0')) AS risk_id FROM r""")
+SELECT risk_type, relative_paths, printf('RISK-%04d', row_number() OVER (ORDER BY risk_type, relative_paths)) AS risk_id FROM r""")
 def risk_register(spark, sf):
     d = table(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), F.lit("file").alias("entry_kind"), F.col("n_chars").alias("size_bytes"), F.sha2("text", 256).alias("sha256"))
     return audit.register(audit.duplicate_risks(d), audit.large_file_risks(d, 10_000)).select("risk_type", "relative_paths", "risk_id")
