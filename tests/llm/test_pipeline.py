@@ -69,3 +69,50 @@ def test_queries_over_the_smallest_tables(spark, name):
         assert got == sorted(map(repr, want))
     else:
         assert len(got) >= spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before has kept: line runs and near duplicates by all windows and all pairs, copies and pieces by plain counts."""
+    import test_jaccard
+    import test_lines
+
+    from ledgerlake.llm import mixing, quality
+
+    rnd = random.Random(11)
+    prose = lambda n: "\n".join(" ".join(rnd.choice([f"w{i}" for i in range(700)]) for _ in range(rnd.choice([3, 12, 25]))) for _ in range(n))
+    shared = [prose(6) for _ in range(4)]
+    rows = [(i, prose(rnd.randrange(8)) + "\n" + rnd.choice([*shared, "", ""]) + "\n" + prose(5), rnd.choice("abc")) for i in range(70)]
+    for i in range(20):  # near and exact copies
+        words = rows[i][1].split()
+        for _ in range(rnd.choice([0, 1, 2, 40])):
+            words[rnd.randrange(len(words))] = f"new{rnd.randrange(99)}"
+        rows.append((100 + i, " ".join(words), "b"))
+    rows += [(300, "few words", "a"), (301, None, "a"), (None, prose(9), None)]
+    state = spark.createDataFrame([(d, t, "en", s, len(t or "")) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(70)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept, seen = None, []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, state, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{len(seen)}")
+        had, out = [(r["doc_id"], r["text"]) for r in state.collect()], spark.read.parquet(f"{tmp_path}/{len(seen)}")
+        got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) if "text" in out.columns else None
+        if name == "quality rules":
+            kept = {r["doc_id"] for r in quality.quality(state, labels).where("kept").collect()}
+            assert got == sorted(((d, t) for d, t in had if d in kept), key=repr)
+            assert {300, 301}.isdisjoint(kept)
+        elif name == "line dedup":
+            assert got == sorted(((d, t) for d, t, _, _ in test_lines.brute(had, 50).elements() if (t or "").split()), key=repr)
+        elif name == "n-gram Jaccard join":
+            least = {(d, n): c for d, n, c in test_jaccard.brute(had, 5, 80)}
+            sizes = {d: len(test_jaccard.sets_of(t, 5)) for d, t in had}
+            assert {d for d, _ in got} == {d for d, _ in had if least[d, sizes[d]] in (d, None)}
+            assert len(got) < len(had)
+        elif name == "mixing":
+            copies = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(state).collect()}
+            assert got == sorted(((d, t) for d, t in had for _ in range(copies[d])), key=repr)
+        else:
+            pieces = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"]) for r in out.collect())
+            assert pieces == sorted((d is None, d or 0, len(t.split())) for d, t in had)
+        seen.append(name)
+        state = out
