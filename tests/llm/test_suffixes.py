@@ -1,10 +1,12 @@
 """Suffix deduplication against all positions."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
 import pytest
 
+from ledgerlake.llm.queries import op3_suffixes
 from ledgerlake.llm.suffixes import suffix_dedup
 
 SHAPES = [{"length": 40, "gram": 12, "block": 16}, {"length": 90, "gram": 12, "block": 64}]
@@ -67,3 +69,24 @@ def test_long_text_and_nothing(spark):
     assert span[0]["end"] - span[0]["start"] in range(3000, 3003)
     assert got[2, 5] == []
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_query_on_passages_of_over_50_words(spark, tmp_path):
+    """The contract counts 400 bytes, not words: of repeated passages of 51 words and more just those that reach them go."""
+    rnd = random.Random(12)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(6))
+    text = lambda n, letters: " ".join(word(letters) for _ in range(n))
+    cut = lambda t, n: t.encode()[:n].decode(errors="ignore")
+    plain = [cut(text(60, "abcdefgh"), n) for n in (51 * 7, 399, 400)]
+    passages = [*plain, text(70, "abcdefgh"), text(51, "éñüç")]
+    assert all(len(p.split()) > 50 for p in passages)
+    rows, holds = [], {}
+    for i in range(60):
+        # One byte beside a passage that no other document has, so that no repeat is longer than its passage.
+        k = i % 10
+        holds[i] = len(passages[k].encode()) if k < len(passages) else 0
+        rows.append((i, chr(33 + i).join([text(rnd.randrange(5, 90), "klmnop"), passages[k] if holds[i] else text(60, "klmnop"), text(rnd.randrange(5, 90), "klmnop")])))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_suffixes(spark, str(tmp_path)).collect()
+    assert Counter(tuple(r) for r in got) == Counter((d, n, n - len(kept), runs, hashlib.sha256(kept).hexdigest()) for d, n, kept, runs in brute(rows, "none", 400))
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {d: n if n >= 400 else 0 for d, n in holds.items()}
