@@ -90,3 +90,16 @@ def test_query_on_passages_of_over_50_words(spark, tmp_path):
     got = op3_suffixes(spark, str(tmp_path)).collect()
     assert Counter(tuple(r) for r in got) == Counter((d, n, n - len(kept), runs, hashlib.sha256(kept).hexdigest()) for d, n, kept, runs in brute(rows, "none", 400))
     assert {r["doc_id"]: r["n_removed"] for r in got} == {d: n if n >= 400 else 0 for d, n in holds.items()}
+
+
+def test_query_on_given_table(spark):
+    """Every 400-byte window of the smallest table. The passages of `benchmark` that it holds stay, as such: those of over 50 words have fewer bytes than that."""
+    sf = "/root/testdata/sf0.001"
+    got = op3_suffixes(spark, sf).collect()
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute(rows, "none", 400)
+    assert Counter(tuple(r) for r in got) == Counter((d, n, n - len(kept), runs, hashlib.sha256(kept).hexdigest()) for d, n, kept, runs in want.elements())
+    assert any(r["n_removed"] for r in got)
+    passages = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(r["text"].split()) > 50]
+    assert passages
+    assert max(len(p.encode()) for p in passages) < 400
